@@ -1,0 +1,21 @@
+"""What several operators need from the session."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Uses the shared folder that the cluster names; sets one only where there is none, as in tests."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows in the shared folder, with their partitions and order, and no lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
