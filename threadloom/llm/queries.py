@@ -12,6 +12,7 @@ from threadloom.llm.sharding import shard_by_bytes
 from threadloom.llm.simhash import near_duplicates
 from threadloom.llm.substring import dedup_substrings
 from threadloom.llm.suffix import dedup_suffixes
+from threadloom.llm.toxicity import fit, fold, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op1_nearest": op1_nearest,
     "op9_simhash": op9_simhash,
     "op4_sentencepiece": op4_sentencepiece,
