@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.ann import nearest
 from threadloom.llm.decontaminate import scan_documents
+from threadloom.llm.pii import find_pii
+from threadloom.llm.secrets import find_secrets
 from threadloom.llm.sentencepiece_bpe import encode_texts
 from threadloom.llm.sharding import shard_by_bytes
 from threadloom.llm.simhash import near_duplicates
+from threadloom.llm.spans import joined
 from threadloom.llm.substring import dedup_substrings
 from threadloom.llm.suffix import dedup_suffixes
 from threadloom.llm.toxicity import fit, fold, score_toxicity
@@ -67,7 +70,23 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def span_columns(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    of = lambda k: lambda s: s["kind"] == k
+    counts = [F.size(F.filter("base", of(k))).cast("bigint").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_columns(find_pii(table(spark, sf_dir, "documents")), ("email", "ip", "card", "phone"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_columns(find_secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op10_secrets": op10_secrets,
     "op6_toxicity": op6_toxicity,
     "op1_nearest": op1_nearest,
     "op9_simhash": op9_simhash,
