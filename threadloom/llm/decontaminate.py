@@ -159,7 +159,7 @@ def parts(benchmark: DataFrame, id_col: str, text_col: str, window: int, part_wo
     return [*out, *([Automaton(chunk, window)] if chunk else [])]
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, max_length: int = 0, max_coverage: float = 0.0, part_words: int = 500_000) -> DataFrame:
+def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, max_length: int = 0, max_coverage: float = 0.0, part_words: int = 500_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Finds words of documents inside benchmark windows and removes the spans that exceed the limits.
 
     A window is ``window`` consecutive words of an item, or a whole shorter item.  A document loses its hit spans
@@ -168,10 +168,12 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     Returns a row for each input row: doc_id, n_words, n_hit, items (ids with occurring windows, sorted as strings),
     spans (hit runs, in words) and text (what is left).  Null texts have no words; the text comes back null.  Items
-    with null id count as hits but are not listed; items with the same id count once.  Other columns are not read.
-    Empty tables: no rows, or no hits.
+    with null id count as hits but are not listed; items with the same id count once.  The columns named in ``carry`` come along
+    as c_ and their name; others are not read.  Empty tables: no rows, or no hits.
     """
     sc = docs.sparkSession.sparkContext
+    kept = [f"c_{c}" for c in carry]
+    more = "".join(f", {k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, carry, strict=True))
     shared = [sc.broadcast(a) for a in parts(benchmark, item_col, item_text, window, part_words)] or [sc.broadcast(Automaton([], window))]
 
     def scan(k: int, last: bool):
@@ -179,6 +181,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
             a = shared[k].value
             for batch in batches:
                 ids, texts, hits, items = (batch.column(c) for c in ("doc_id", "text", "hits", "items"))
+                along = [batch.column(c) for c in kept]
                 n, spans, of = [], [], []
                 for t, h, i in zip(texts.to_pylist(), hits.to_pylist(), items.to_pylist(), strict=True):
                     ws = words(t or "")
@@ -188,20 +191,20 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                     of.append(sorted({*i, *more}))
                 if not last:
                     flat = pa.array([[x for span in s for x in span] for s in spans], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([ids, texts, flat, pa.array(of, pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
+                    yield pa.RecordBatch.from_arrays([ids, texts, flat, pa.array(of, pa.list_(pa.string())), *along], names=["doc_id", "text", "hits", "items", *kept])
                     continue
                 left = [cut(t, s, k, max_length, max_coverage) for t, s, k in zip(texts.to_pylist(), spans, n, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array(of, pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPAN), pa.array(left, pa.string())],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans", "text"],
+                    [ids, pa.array(n, pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array(of, pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPAN), pa.array(left, pa.string()), *along],
+                    names=["doc_id", "n_words", "n_hit", "items", "spans", "text", *kept],
                 )
 
         return run
 
-    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), *(F.col(c).alias(k) for k, c in zip(kept, carry, strict=True)))
     for k in range(len(shared)):
         last = k == len(shared) - 1
-        out = out.mapInArrow(scan(k, last), SCHEMA if last else "doc_id bigint, text string, hits array<int>, items array<string>")
+        out = out.mapInArrow(scan(k, last), (SCHEMA if last else "doc_id bigint, text string, hits array<int>, items array<string>") + more)
     return out
 
 

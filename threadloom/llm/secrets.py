@@ -34,15 +34,15 @@ NEEDS = {"identifier": ("secret",), "mixed": ("identifier",), "endpoint": ("iden
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, doc_id, base and weak (spans), without texts."""
+    """row, doc_id, text_hash, base and weak (spans), without texts."""
     t = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     patterns = {**BASE, **WEAK}
-    t = t.select("doc_id", "t", *(F.regexp_extract_all("t", F.lit(p), 0).alias(f"m_{k}") for k, p in patterns.items()))
-    t = t.select("doc_id", *(located(F.col("t"), F.col(f"m_{k}"), p).alias(k) for k, p in patterns.items()))
+    t = t.select("doc_id", F.xxhash64("t").alias("text_hash"), "t", *(F.regexp_extract_all("t", F.lit(p), 0).alias(f"m_{k}") for k, p in patterns.items()))
+    t = t.select("doc_id", "text_hash", *(located(F.col("t"), F.col(f"m_{k}"), p).alias(k) for k, p in patterns.items()))
     long = lambda m: F.length(F.regexp_extract(m["text"], BASE["assign"], 2)) >= LEAST
     base = [of_kind(F.filter("assign", long), "assign", 0), of_kind(F.col("access"), "access", 1), of_kind(F.col("hex"), "hex", 2)]
     weak = [of_kind(F.col(k), k, len(BASE) + i) for i, k in enumerate(WEAK)]
-    return t.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*base).alias("base"), F.concat(*weak).alias("weak"))
+    return t.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", F.concat(*base).alias("base"), F.concat(*weak).alias("weak"))
 
 
 def linked(scanned: DataFrame, scope: int) -> DataFrame:
@@ -73,11 +73,30 @@ def linked(scanned: DataFrame, scope: int) -> DataFrame:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 300) -> DataFrame:
     """Spans of secrets in whole texts.
 
-    Returns a row for each input row: doc_id, base and added, arrays of structs start, ord, end (exclusive, code
+    Returns a row for each input row: doc_id, text_hash (xxhash64), base and added, arrays of structs start, ord, end (exclusive, code
     points) and kind.  Base kinds are assign, access and hex; linked weak parts are identifier, mixed or endpoint.
     Null and empty texts have no spans; null ids stay null; rows with one id are apart; other columns are not read.
     Empty table: no rows.
     """
     scanned = checkpointed(scan(docs, id_col, text_col))
     out = scanned.join(linked(scanned, scope), "row", "left")
-    return out.select("doc_id", "base", F.coalesce("added", F.array().cast(SPANS)).alias("added"))
+    return out.select("doc_id", "text_hash", "base", F.coalesce("added", F.array().cast(SPANS)).alias("added"))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 300, mark: str = "[secret]") -> DataFrame:
+    """Rows as they are, with every span of :func:`find_secrets` replaced by ``mark``; touching or overlapping spans
+    are one.  Rows meet their spans by id and hash of the text, so equal rows share them and each row comes back once.
+    """
+    found = find_secrets(docs, id_col, text_col, scope)
+    all_ = F.array_sort(F.concat("base", "added"))
+    found = found.where(F.size("base") + F.size("added") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first(all_).alias("_spans"))
+    own = F.col(text_col)
+    both = docs.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(own) == F.col("_hash")), "left")
+
+    def cut(acc: Column, s: Column) -> Column:
+        gap = F.when(s["start"] > acc["at"], F.concat(F.substring(own, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.when(acc["at"] == 0, F.lit(mark)).otherwise(F.lit("")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    done = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(own, acc["at"] + 1, F.length(own))))
+    return both.select(*(F.when(F.col("_spans").isNotNull(), done).otherwise(own).alias(text_col) if c == text_col else docs[c] for c in docs.columns))

@@ -276,3 +276,15 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.score(f) for f in found]), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "score", "features"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, "doc_id bigint, score double, features array<double>")
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Rows as they are, without those that score ``threshold`` or more."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Scanner(model.lexicon)
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(s.features(t or "")) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
