@@ -25,7 +25,7 @@ LETTER = r"[^\W\d_¹²³]"
 SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
 SHORT = 48  # symbols up to which a list serves as agenda
 NEVER = float("inf")
-KEPT = 250_000  # chunks remembered in each of two generations
+KEPT = 500_000  # chunks remembered in each of two generations
 
 
 class Codec:
@@ -55,8 +55,9 @@ class Codec:
         self.plain = [t.decode(errors="replace") for t in self.text]
         self.packed = [i.to_bytes(4, "little") for i in range(n)]
         self.byte_ids = frozenset(self.bytes.values())
-        self.new: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}
 
     def merge(self, chunk: str) -> list[str]:
         """Pieces of a chunk, by the agenda."""
@@ -130,8 +131,8 @@ class Codec:
             out.append(as_text(bytes(run)))
         return "".join(out)
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids of a chunk, packed, and the text they decode to (not at the front of a document)."""
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk, packed; what they decode to is noted where it isn't the chunk itself."""
         found = self.old.get(chunk)
         if found is None:
             ids = self.encode_chunk(chunk)
@@ -139,8 +140,12 @@ class Codec:
                 out = "".join([self.plain[i] for i in ids])
             else:
                 out = as_text(b"".join([self.text[i] for i in ids]))
-            found = b"".join([self.packed[i] for i in ids]), out
+            if out != chunk.replace(MARK, " "):
+                self.odd[chunk] = out
+            found = b"".join([self.packed[i] for i in ids])
         if len(self.new) >= KEPT:
+            if len(self.odd) >= KEPT:
+                self.odd, self.new = {}, {}
             self.old, self.new = self.new, {}
         self.new[chunk] = found
         return found
@@ -149,9 +154,17 @@ class Codec:
         """Packed ids of a document, without begin and end, and what they decode to."""
         if not text:
             return b"", ""
-        new, slow = self.new, self.chunk
-        found = [new.get(c) or slow(c) for c in self.cut(MARK + text.replace(" ", MARK))]
-        return b"".join([x[0] for x in found]), "".join([x[1] for x in found])[1:]
+        marked = MARK + text.replace(" ", MARK)
+        chunks = self.cut(marked)
+        found = list(map(self.new.get, chunks))
+        if None in found:
+            new, slow = self.new.get, self.chunk
+            found = [f or new(c) or slow(c) for f, c in zip(found, chunks, strict=True)]
+        if self.odd and not self.odd.keys().isdisjoint(chunks):
+            out = "".join([self.odd[c] if c in self.odd else c.replace(MARK, " ") for c in chunks])
+        else:
+            out = marked.replace(MARK, " ")
+        return b"".join(found), out[1:]
 
 
 def as_text(raw: bytes) -> str:
