@@ -69,7 +69,7 @@ def tile(q_ids, q, c_ids, c, k: int, width: int = 2048, height: int = 512):
             if high.shape[1] > k:
                 # candidates are distinct by now, so k of them lie within the k-th smallest upper bound
                 limit[rows] = np.minimum(limit[rows], np.partition(high, k - 1, axis=1)[:, k - 1])
-            for i, js in survivors(low <= limit[rows, None] * (1 + 1e-9) + 1e-12):
+            for i, js in survivors((low <= limit[rows, None] * (1 + 1e-9) + 1e-12) & ~own):
                 heap, js = best[b + i], js + a
                 ds = distances(q[b + i], c[js])
                 for d, j in sorted(zip(ds.tolist(), c_ids[js].tolist(), strict=True))[:k]:
