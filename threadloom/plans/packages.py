@@ -51,6 +51,24 @@ def metadata(conversations: DataFrame, stats: DataFrame, branches: Branches, sel
     )
 
 
+def json_value(c: Column) -> Column:
+    """A scalar as JSON."""
+    whole = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(whole, 6, F.length(whole) - 6)
+
+
+def pretty(df: DataFrame) -> Column:
+    """A row as indented JSON with sorted keys and a line end; arrays hold strings."""
+    lines = []
+    for name in sorted(df.columns):
+        value = json_value(F.col(name))
+        if df.schema[name].dataType.typeName() == "array":
+            many = F.concat(F.lit("[\n    "), F.array_join(F.transform(name, json_value), ",\n    "), F.lit("\n  ]"))
+            value = F.when(F.size(name) > 0, many).otherwise("[]")
+        lines.append(F.concat(F.lit(f'  "{name}": '), value))
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *lines), F.lit("\n}\n"))
+
+
 def packages(conversations: DataFrame, nodes: DataFrame, options: Options = Options(), mode: str = "deterministic", source: str = "", raw: DataFrame | None = None) -> DataFrame:
     """conv_id, filename and contents for every conversation that has a branch; ``raw``: conv_id and raw elements."""
     branches = active_branch(conversations, nodes)
@@ -59,11 +77,11 @@ def packages(conversations: DataFrame, nodes: DataFrame, options: Options = Opti
     selection = recent_selection(visible, options.recent_messages, options.recent_chars).select("conv_id", "message_count")
     stats = conversation_stats(nodes, branches)
     meta = metadata(usable, stats, branches, selection, source, mode)
-    record = F.to_json(F.struct(*meta.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    record = pretty(meta)
     files = [
         ("context.md", render_documents(context_sections(usable, visible, options, mode)), "document"),
         ("transcript.md", transcripts(usable, visible), "transcript"),
-        ("metadata.json", meta.select(F.col("conversation_id").alias("conv_id"), F.concat(record, F.lit("\n")).alias("record")), "record"),
+        ("metadata.json", meta.select(F.col("conversation_id").alias("conv_id"), record.alias("record")), "record"),
     ]
     if mode == "prompt":
         files.append(("summarization-prompt.md", prompts(usable, visible), "prompt"))

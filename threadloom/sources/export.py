@@ -18,19 +18,11 @@ from threadloom.session import checkpointed
 from threadloom.sources.parse import file_rows
 
 MAX_UNPACKED = 512 << 20
-PART = S.StructType.fromDDL("kind string, text string, name string")
-MESSAGE = S.StructType.fromDDL(
-    "id string, role string, author_name string, create_time double, recipient string, hidden boolean, model_slug string, "
-    "content struct<kind: string, content_type: string, language: string, text: string, parts: array<struct<kind: string, text: string, name: string>>>"
-)
-NODE = S.StructType.fromDDL("node_id string, parent string, children array<string>").add("message", MESSAGE)
-CONVERSATION = S.StructType.fromDDL("conv_id string, title string, create_time double, update_time double, current_node string").add("nodes", S.ArrayType(NODE))
-SCANNED = (
-    S.StructType.fromDDL("path string, entry string, entry_no int, idx int, origin string, raw string, raw_id string, raw_other_id string, raw_time double")
-    .add("conversation", CONVERSATION)
-    .add("warnings", S.ArrayType(S.StringType()))
-    .add("error", S.StructType.fromDDL("code string, message string"))
-)
+PART = "struct<kind: string, text: string, name: string>"
+MESSAGE = f"struct<id: string, role: string, author_name: string, create_time: double, recipient: string, hidden: boolean, model_slug: string, content: struct<kind: string, content_type: string, language: string, text: string, parts: array<{PART}>>>"
+NODE = f"struct<node_id: string, parent: string, children: array<string>, message: {MESSAGE}>"
+CONVERSATION = f"struct<conv_id: string, title: string, create_time: double, update_time: double, current_node: string, nodes: array<{NODE}>>"
+SCANNED = f"path string, entry string, entry_no int, idx int, origin string, raw string, raw_id string, raw_other_id string, raw_time double, conversation {CONVERSATION}, warnings array<string>, error struct<code: string, message: string>"
 
 
 @dataclass
@@ -46,7 +38,7 @@ class ExportSet:
 
 def scan(files: DataFrame, max_unpacked_bytes: int = MAX_UNPACKED) -> DataFrame:
     """Rows of files (path, content), one element each; a file that can't be read gives one row with its error."""
-    schema = to_arrow_schema(SCANNED)
+    schema = to_arrow_schema(S.StructType.fromDDL(SCANNED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
