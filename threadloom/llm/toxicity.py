@@ -26,7 +26,7 @@ PREFIXES = range(3, 9)
 #: Verbs and nouns that announce a quotation, and marks that open or close one.
 REPORTING = frozenset("said says wrote writes called quoted quote word term dit écrit mot cite sagte schrieb zitat wort dijo escribió cita palabra".split())
 MARKS = re.compile("[\"“”„«»]")
-FEATURES = ("strongest plain term", "plain terms", "misspelled terms", "quoted terms")
+FEATURES = ("strongest plain term", "plain terms", "misspelled terms", "quoted terms", "words")
 CACHED = 200_000  # words remembered in each of two generations
 
 
@@ -64,7 +64,7 @@ class Levenshtein:
 @dataclass
 class Lexicon:
     """whole: weights of terms that are words; beginnings: of terms that words start with; least: letters from which
-    a term may be misspelled."""
+    a term may be misspelled; most: edits (the halves that are looked for first hold for one)."""
 
     whole: dict[str, float]
     beginnings: dict[str, float]
@@ -79,12 +79,28 @@ class Lexicon:
                 for c in term:
                     node = node.setdefault(c, {})
                 node[kind] = weight
-        fuzzy = [t for t in self.whole if len(t) >= self.least]
-        # one edit leaves the first or the second half of a term as it is
-        self.heads = {t[: len(t) // 2] for t in fuzzy}
-        self.tails = {t[len(t) // 2 :] for t in fuzzy}
-        self.head_sizes = sorted({len(h) for h in self.heads})
-        self.tail_sizes = sorted({len(t) for t in self.tails})
+        # misspellings are looked for of whole terms that no beginning takes in
+        self.fuzzy: dict = {}
+        self.halves: dict[tuple[str, int], set[int]] = {}
+        for term, weight in self.whole.items():
+            if len(term) < self.least or any(term.startswith(b) for b in self.beginnings):
+                continue
+            node = self.fuzzy
+            for c in term:
+                node = node.setdefault(c, {})
+            node["whole"] = weight
+            # one edit leaves the first or the second half of a term as it is, where it is
+            for side, half in enumerate((term[: len(term) // 2], term[len(term) // 2 :])):
+                self.halves.setdefault((half, side), set()).update(range(len(term) - self.most, len(term) + self.most + 1))
+        self.sizes = sorted({(side, len(half)) for half, side in self.halves})
+
+    def may_be_misspelled(self, word: str) -> bool:
+        n = len(word)
+        for side, k in self.sizes:
+            found = self.halves.get((word[n - k :] if side else word[:k], side)) if k <= n else None
+            if found is not None and n in found:
+                return True
+        return False
 
     def look_up(self, word: str) -> tuple[bool, float] | None:
         """Is it misspelled, and the weight of its term: the word itself, else its longest beginning, else a term
@@ -100,10 +116,10 @@ class Lexicon:
                 return False, node["whole"]
         if start is not None:
             return False, start
-        if len(word) < self.least - self.most or not (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)):
+        if not self.may_be_misspelled(word):
             return None
         automaton = Levenshtein(word, self.most)
-        found = self.meet(automaton, self.trie, automaton.start(), 0)
+        found = self.meet(automaton, self.fuzzy, automaton.start(), 0)
         return None if found is None else (True, found)
 
     def meet(self, automaton: Levenshtein, node: dict, state: tuple, depth: int) -> float | None:
@@ -138,11 +154,13 @@ class Scanner:
         known, slow = self.new, self.look_up
         hits = [i for i, w in enumerate(words) if (known[w] if w in known else slow(w)) is not None]
         out = [0.0] * len(FEATURES)
+        out[4] = float(len(words))
         if hits:
             at = [m.span() for m in WORD.finditer(lowered)]
-            for i in hits:
-                misspelled, weight = slow(words[i])
-                if self.quoted(lowered, words, i, at[i]):
+            # each term counts once for its plain uses and once for its quoted ones
+            for word, aside in sorted({(words[i], self.quoted(lowered, words, i, at[i])) for i in hits}):
+                misspelled, weight = slow(word)
+                if aside:
                     out[3] += weight
                 elif misspelled:
                     out[2] += weight
@@ -221,9 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         s = Scanner(lexicon)
         for batch in batches:
             found = [s.features(t) for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([[math.log1p(x) for x in f] for f in found], pa.list_(pa.float64())), batch.column("y")], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([[round(math.log1p(x), 2) for x in f] for f in found], pa.list_(pa.float64())), batch.column("y")], names=["x", "y"])
 
-    # rows that agree in all features count as one with a weight
+    # rows that agree in all features count as one with a weight; there are no more than max_rows
     cells = train.mapInArrow(scan, "x array<double>, y int").groupBy("x").agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n")).collect()
     weights, bias = regression([list(r.x) for r in cells], [r.pos for r in cells], [r.n for r in cells])
     return Model(lexicon, weights, bias)
