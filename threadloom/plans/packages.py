@@ -13,6 +13,7 @@ from threadloom.operators.messages import Options, recent_selection, visible_mes
 from threadloom.operators.stats import conversation_stats
 from threadloom.plans.sections import context_sections, render_documents
 from threadloom.plans.transcript import transcripts
+from threadloom.session import checkpointed
 
 GENERATED_BY = "threadloom 1.0.0"
 
@@ -73,7 +74,7 @@ def packages(conversations: DataFrame, nodes: DataFrame, options: Options = Opti
     """conv_id, filename and contents for every conversation that has a branch; ``raw``: conv_id and raw elements."""
     branches = active_branch(conversations, nodes)
     usable = conversations.join(branches.meta.where("status = 'ok'").select("conv_id"), "conv_id", "left_semi")
-    visible = visible_messages(nodes, branches, options)
+    visible = checkpointed(visible_messages(nodes, branches, options))  # read by every section
     selection = recent_selection(visible, options.recent_messages, options.recent_chars).select("conv_id", "message_count")
     stats = conversation_stats(nodes, branches)
     meta = metadata(usable, stats, branches, selection, source, mode)

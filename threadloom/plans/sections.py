@@ -17,6 +17,7 @@ from threadloom.functions import fixed as X
 from threadloom.functions import text as T
 from threadloom.operators.messages import Options, recent_selection, tail
 from threadloom.plans.transcript import in_order, render_messages
+from threadloom.session import checkpointed
 
 PURPOSE_CHARS, BACKGROUND_CHARS, SENTENCE_CHARS, DIGEST_CHARS, STATE_CHARS, NAME_CHARS = 600, 200, 240, 120, 180, 60
 BACKGROUND, STATE, DIGEST, QUESTION_WINDOW = 4, 5, 60, 12
@@ -270,7 +271,7 @@ def context_sections(conversations: DataFrame, visible: DataFrame, options: Opti
     """conv_id, ord (0 to 13), heading and body (may be empty) of every conversation given."""
     if mode not in MODES:
         raise ValueError(f"mode: one of {', '.join(MODES)}")
-    s = sentence_rows(visible)
+    s = checkpointed(sentence_rows(visible))  # read by six sections
     selection = recent_selection(visible, options.recent_messages, options.recent_chars)
     liked = preferences(s)
     made = [
