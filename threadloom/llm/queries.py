@@ -141,3 +141,18 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_kep
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (r)
 """
+
+SQL["op7_suffix_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT r, doc_id, i, md5_number(substring(h, 2 * i - 1, 100)) AS s FROM (SELECT r, doc_id, h, unnest(range(1, n - 48)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+hit AS (SELECT w.r, w.i FROM w JOIN f USING (s) WHERE f.m < w.doc_id),
+e AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM hit),
+g AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM e),
+s AS (SELECT r, run, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY r, run),
+k AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 1) AS a, a AS b, run FROM s UNION ALL SELECT r, max(b), NULL, 1000000000 FROM s GROUP BY r),
+t AS (SELECT k.r, string_agg(CASE WHEN k.b IS NULL THEN substring(d.h, CAST(2 * k.a - 1 AS BIGINT)) ELSE substring(d.h, CAST(2 * k.a - 1 AS BIGINT), CAST(2 * (k.b - k.a) AS BIGINT)) END, '' ORDER BY k.a) AS kept FROM k JOIN d USING (r) GROUP BY k.r),
+z AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN z USING (r) LEFT JOIN t USING (r)
+"""
