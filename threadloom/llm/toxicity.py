@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import checkpointed
+from threadloom.session import checkpointed
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 9)
@@ -27,6 +27,7 @@ PREFIXES = range(3, 9)
 REPORTING = frozenset("said says wrote writes called quoted quote word term dit écrit mot cite sagte schrieb zitat wort dijo escribió cita palabra".split())
 MARKS = re.compile("[\"“”„«»]")
 FEATURES = ("strongest plain term", "plain terms", "misspelled terms", "quoted terms", "words")
+COMMON = 0.05  # share of toxic documents from which a term is worth a search for its misspellings
 CACHED = 200_000  # words remembered in each of two generations
 
 
@@ -63,11 +64,13 @@ class Levenshtein:
 
 @dataclass
 class Lexicon:
-    """whole: weights of terms that are words; beginnings: of terms that words start with; least: letters from which
-    a term may be misspelled; most: edits (the halves that are looked for first hold for one)."""
+    """whole: weights of terms that are words; beginnings: of terms that words start with; common: the whole terms
+    that are looked for misspelled too (None: all that no beginning takes in); least: letters that takes; most: edits
+    (the halves that are looked for first hold for one)."""
 
     whole: dict[str, float]
     beginnings: dict[str, float]
+    common: frozenset[str] | None = None
     least: int = 5
     most: int = 1
     trie: dict = field(default_factory=dict)
@@ -79,11 +82,10 @@ class Lexicon:
                 for c in term:
                     node = node.setdefault(c, {})
                 node[kind] = weight
-        # misspellings are looked for of whole terms that no beginning takes in
         self.fuzzy: dict = {}
         self.halves: dict[tuple[str, int], set[int]] = {}
         for term, weight in self.whole.items():
-            if len(term) < self.least or any(term.startswith(b) for b in self.beginnings):
+            if len(term) < self.least or (self.common is not None and term not in self.common) or any(term.startswith(b) for b in self.beginnings):
                 continue
             node = self.fuzzy
             for c in term:
@@ -205,7 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = some.count()
     if n > max_rows:
         some = some.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    train = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(some), "id").select("t", "y")
+    train = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(some), "id")
+    # copies of a text count once, or every rare word of a text that is copied often would look like a term
+    train = checkpointed(train.groupBy(F.xxhash64("t").alias("h")).agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -259,7 +263,8 @@ def choose(counts: dict[str, tuple[int, int]], pos: int, neg: int) -> Lexicon:
         for k in range(1, len(stem) + (not t.endswith("*"))):
             covered[stem[:k]] = max(p, covered.get(stem[:k], 0))
     starts = {t[:-1]: w for t, w in weight.items() if t.endswith("*") and covered.get(t[:-1], 0) < 0.9 * counts[t][0]}
-    return Lexicon({t: w for t, w in weight.items() if not t.endswith("*")}, starts)
+    common = frozenset(t for t, (p, _) in counts.items() if p >= COMMON * pos)
+    return Lexicon({t: w for t, w in weight.items() if not t.endswith("*")}, starts, common)
 
 
 def regression(x: list[list[float]], pos: list[int], n: list[int], ridge: float = 0.05, rounds: int = 60) -> tuple[list[float], float]:
