@@ -47,6 +47,14 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
 
 
+def in_parts(hashes: Callable, units: np.ndarray, at: np.ndarray, n: int, part: int = 1 << 19) -> np.ndarray:
+    """``hashes`` of many positions without arrays as long as these on the way."""
+    out = np.empty(len(at), np.uint64)
+    for i in range(0, len(at), part):
+        out[i : i + part] = hashes(units, at[i : i + part], n)
+    return out
+
+
 @dataclass(frozen=True)
 class Spec:
     """window: units; period: of the cover; units: from a block to its units and where each document's begin;
@@ -155,10 +163,10 @@ class Work:
         grid = np.nonzero(np.isin(np.arange(longest) % s.period, COVERS[s.period]))[0]
         fits = np.searchsorted(grid, self.end - self.first - s.anchor, side="right")
         at = np.concatenate([*(grid[:k] + a for a, k in zip(self.first, fits, strict=True)), np.zeros(0, np.int64)]).astype(np.int64)
-        return at, s.hashes(self.units, at, s.anchor) >> np.uint64(64 - self.bits)
+        return at, in_parts(s.hashes, self.units, at, s.anchor) >> np.uint64(64 - self.bits)
 
-    def windows(self, answers: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of windows that another document may have, their hashes, and the document of each."""
+    def windows(self, answers: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of windows that another document may have, and their hashes."""
         s = self.spec
         at, keys = self.anchors()
         own, count = np.unique(keys, return_counts=True)
@@ -174,17 +182,24 @@ class Work:
         lo, hi = np.maximum(at - s.period + 1, self.first[doc]), np.minimum(at, self.end[doc] - s.window) + 1
         keep = lo < hi
         p = spread(*united(lo[keep], hi[keep]))
-        return p, s.hashes(self.units, p, s.window), np.searchsorted(self.first, p, side="right") - 1
+        return p, in_parts(s.hashes, self.units, p, s.window)
 
     def removed(self, answers: pa.Table, windows: tuple, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of units to remove: which document, from, to (within the block's units)."""
-        p, h, doc = windows
-        if not len(p):
-            return doc, p, p
-        keys, first, slot = np.unique(h, return_index=True, return_inverse=True)
-        ids = self.block.ids[self.docs]  # positions rise with the ids, so a first occurrence has the smallest
-        gone = B.told(keys, bounds, answers)[slot] | (ids[doc] > ids[doc[first]][slot])
-        p, doc = p[gone], doc[gone]
+        p, h = windows
+        del windows
+        order = np.argsort(h, kind="stable")  # positions rise with the ids, so the first of a run has the smallest
+        h = h[order]
+        start = np.nonzero(np.append(True, h[1:] != h[:-1])[: len(h)])[0]
+        hit = B.told(h[start], bounds, answers)
+        del h
+        ids = self.block.ids[self.docs]
+        own = ids[(np.searchsorted(self.first, p, side="right") - 1)[order]]
+        count = np.diff(np.append(start, len(order)))
+        gone = np.repeat(hit, count) | (own > np.repeat(own[start], count))
+        p = np.sort(p[order[gone]])
+        del order, own, gone
+        doc = np.searchsorted(self.first, p, side="right") - 1
         if not len(p):
             return doc, p, p
         ends = p + self.spec.window
