@@ -185,8 +185,8 @@ def terminology(visible: DataFrame) -> DataFrame:
 
 def is_path(token: Column) -> Column:
     slash = F.contains(token, F.lit("/")) & ~F.endswith(token, F.lit("/")) & token.rlike(r"[\p{IsAlphabetic}\p{N}]")
-    known = F.exists(F.array(*map(F.lit, X.FILE_EXTENSIONS)), lambda e: F.endswith(F.lower(token), e))
-    return T.grapheme_count(token).between(3, 120) & (slash | known)
+    known = F.lower(token).rlike(f"(?:{'|'.join(e.replace('.', '[.]') for e in X.FILE_EXTENSIONS)})$")
+    return (slash | known) & T.grapheme_count(token).between(3, 120)  # clusters are counted last, which few tokens reach
 
 
 def is_version(token: Column) -> Column:
