@@ -69,6 +69,16 @@ def test_weak_parts_need_their_complement(spark):
     assert got == {1: ["endpoint", "identifier", "mixed"], 2: [], 3: [], 4: [], 5: ["mixed"], 6: ["identifier"]}
 
 
+def test_tokens_with_full_stops_and_late_classes(spark):
+    token, late = "wJalrXUtnFEMI7MDENGbPxRfiCYEXAMPLEKEY", "a" * 80 + "B" + "c" * 80 + "7"
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmN"
+    texts = [f"{token}. Next", f"{token} end", f"{jwt}.", f"...{token}...", late, "." * 40, "aB3" + "." * 40, "a" * 40, f"word.{token}"]
+    rows = [(i, f"client_id=abc123 key {t}") for i, t in enumerate(texts)]
+    want = {0: token, 1: token, 2: jwt, 3: token, 4: late, 8: f"word.{token}"}
+    got = {r.doc_id: [rows[r.doc_id][1][s.start : s.end] for s in r.added if s.kind == "mixed"] for r in find_secrets(table(spark, rows)).collect()}
+    assert got == {i: [want[i]] if i in want else [] for i in range(len(rows))}
+
+
 def test_redaction(spark):
     rows = [(1, "é token=abcdef1 é"), (2, None), (3, ""), (4, "token=abcdef1token=abcdef2"), (5, "clean"), (5, "clean"), (None, "password: hunter22")]
     df = table(spark, rows)

@@ -25,14 +25,34 @@ BASE = {
 LEAST = 6  # characters of an assigned value
 WEAK = {
     "identifier": r"\b(?i:access_?key(?:_?id)?|client_?id|account_?id|user(?:name)?|login)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9_.@-]{3,}+",
-    "mixed": rf"(?<!{VALUE})(?=[A-Za-z0-9+/_=-]*+(?!{VALUE}))(?=[^0-9]{{0,63}}[0-9])(?=[^a-z]{{0,63}}[a-z])(?=[^A-Z]{{0,63}}[A-Z])[A-Za-z0-9+/_=-]{{32,}}+",
+    "mixed": rf"(?<!{VALUE}){VALUE}{{32,}}+",
     "endpoint": r"\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]++",
 }
+TOKEN = 32  # characters of a mixed token, without the full stops around it
+#: A mixed token holds all of these.
+CLASSES = ("[0-9]", "[a-z]", "[A-Z]")
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "mixed": "secret", "endpoint": "endpoint"}
 #: What has to be near for a weak part to be reported.
 NEEDS = {"identifier": ("secret",), "mixed": ("identifier",), "endpoint": ("identifier", "secret")}
 
 
+def tokens(found: Column) -> Column:
+    """Mixed tokens without the full stops before and behind them."""
+
+    def bare(m: Column) -> Column:
+        left = F.ltrim(m["text"], F.lit("."))
+        start, text = m["end"] - F.length(left), F.rtrim(left, F.lit("."))
+        return F.struct(start.alias("start"), (start + F.length(text)).alias("end"), text.alias("text"), m["before"].alias("before"))
+
+    def mixed(m: Column) -> Column:
+        out = F.length(m["text"]) >= TOKEN
+        for c in CLASSES:
+            out = out & m["text"].rlike(c)
+        return out
+
+    return F.filter(F.transform(found, bare), mixed)
+
+
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, doc_id, text_hash, base and weak (spans), without texts."""
     t = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -41,7 +61,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = t.select("doc_id", "text_hash", *(located(F.col("t"), F.col(f"m_{k}"), p).alias(k) for k, p in patterns.items()))
     long = lambda m: F.length(F.regexp_extract(m["text"], BASE["assign"], 2)) >= LEAST
     base = [of_kind(F.filter("assign", long), "assign", 0), of_kind(F.col("access"), "access", 1), of_kind(F.col("hex"), "hex", 2)]
-    weak = [of_kind(F.col(k), k, len(BASE) + i) for i, k in enumerate(WEAK)]
+    weak = [of_kind(tokens(F.col(k)) if k == "mixed" else F.col(k), k, len(BASE) + i) for i, k in enumerate(WEAK)]
     return t.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", F.concat(*base).alias("base"), F.concat(*weak).alias("weak"))
 
 
