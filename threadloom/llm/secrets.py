@@ -4,16 +4,16 @@ A credential has an identifier, a secret and often an endpoint.  Base matches ar
 (account names in assignments, long mixed tokens, addresses of services) mean nothing alone; they are joined as
 intervals: within a scope, which is a stretch of ``scope`` characters on either side, a weak part is reported only if
 its complement is there too.  The join is a sort of each document's parts by place, with running maxima and minima
-for the nearest part of each role.  Only built-in functions touch the rows.
+for the nearest part of each role; it stays within the row, so nothing is shuffled.  Only built-in functions touch the
+rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.spans import SPANS, located, of_kind
-from threadloom.session import checkpointed
+from threadloom.llm.spans import SPANS, larger, let, located, of_kind, running, smaller
 
 VALUE = "[A-Za-z0-9+/_.=-]"
 #: The contract's patterns; the least lengths of access and hex are part of theirs, which drops the same matches.
@@ -53,70 +53,73 @@ def tokens(found: Column) -> Column:
     return F.filter(F.transform(found, bare), mixed)
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, doc_id, text_hash, base and weak (spans), without texts."""
-    t = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+FAR = 2_000_000_000  # beyond every place in a text
+
+
+def scan(rows: DataFrame) -> DataFrame:
+    """Rows of ``r`` (anything) and ``t`` (a text) with their base and weak spans."""
     patterns = {**BASE, **WEAK}
-    t = t.select("doc_id", F.xxhash64("t").alias("text_hash"), "t", *(F.regexp_extract_all("t", F.lit(p), 0).alias(f"m_{k}") for k, p in patterns.items()))
-    t = t.select("doc_id", "text_hash", *(located(F.col("t"), F.col(f"m_{k}"), p).alias(k) for k, p in patterns.items()))
+    t = rows.select("r", "t", *(F.regexp_extract_all("t", F.lit(p), 0).alias(f"m_{k}") for k, p in patterns.items()))
+    t = t.select("r", "t", *(located(F.col("t"), F.col(f"m_{k}"), p).alias(k) for k, p in patterns.items()))
     long = lambda m: F.length(F.regexp_extract(m["text"], BASE["assign"], 2)) >= LEAST
     base = [of_kind(F.filter("assign", long), "assign", 0), of_kind(F.col("access"), "access", 1), of_kind(F.col("hex"), "hex", 2)]
     weak = [of_kind(tokens(F.col(k)) if k == "mixed" else F.col(k), k, len(BASE) + i) for i, k in enumerate(WEAK)]
-    return t.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", F.concat(*base).alias("base"), F.concat(*weak).alias("weak"))
-
-
-def linked(scanned: DataFrame, scope: int) -> DataFrame:
-    """row and added: weak parts whose complements lie within their scope."""
-    parts = scanned.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)).select("row", F.explode(F.concat("base", "weak")).alias("s"))
-    role = F.create_map(*(F.lit(x) for pair in ROLE.items() for x in pair))
-    parts = parts.select("row", "s", role[F.col("s.kind")].alias("role"))
-    # peers with the same start see each other from both sides
-    back = Window.partitionBy("row").orderBy("s.start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy("row").orderBy("s.start").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    roles = ("identifier", "secret")
-    for r in roles:
-        of = F.col("role") == r
-        parts = parts.withColumn(f"{r}_end", F.max(F.when(of, F.col("s.end"))).over(back)).withColumn(f"{r}_start", F.min(F.when(of, F.col("s.start"))).over(ahead))
-
-    def near(r: str) -> Column:
-        return F.coalesce(F.col(f"{r}_end") >= F.col("s.start") - scope, F.lit(False)) | F.coalesce(F.col(f"{r}_start") <= F.col("s.end") + scope, F.lit(False))
-
-    reported = F.lit(False)
-    for kind, needs in NEEDS.items():
-        together = F.col("s.kind") == kind
-        for r in needs:
-            together = together & near(r)
-        reported = reported | together
-    return parts.where(reported).groupBy("row").agg(F.collect_list("s").alias("added"))
+    return t.select("r", "t", F.concat(*base).alias("base"), F.concat(*weak).alias("weak"))
+
+
+def linked(base: Column, weak: Column, scope: int) -> Column:
+    """Weak parts whose complements lie within their scope."""
+
+    def place(parts: Column, role: str, field: str, none: int) -> Column:
+        kinds = [k for k, r in ROLE.items() if r == role]
+        return F.transform(parts, lambda s: F.when(s["kind"].isin(*kinds), s[field]).otherwise(none))
+
+    def join(parts: Column) -> Column:
+        # of each role: the furthest end among parts that start here or before, the first start among those from here on
+        before = {r: running(place(parts, r, "end", -FAR), larger, -FAR) for r in ("identifier", "secret")}
+        after = {r: F.reverse(running(F.reverse(place(parts, r, "start", FAR)), smaller, FAR)) for r in ("identifier", "secret")}
+        bounds = F.arrays_zip(parts.alias("s"), *(x[r].alias(f"{n}_{r}") for n, x in (("before", before), ("after", after)) for r in x))
+
+        def reported(b: Column) -> Column:
+            out = F.lit(False)
+            for kind, needs in NEEDS.items():
+                together = b["s"]["kind"] == kind
+                for r in needs:
+                    together = together & ((b[f"before_{r}"] >= b["s"]["start"] - scope) | (b[f"after_{r}"] <= b["s"]["end"] + scope))
+                out = out | together
+            return out
+
+        return F.transform(F.filter(bounds, reported), lambda b: b["s"])
+
+    found = let(F.array_sort(F.concat(base, weak)), join).cast(SPANS)
+    return F.when((F.size(weak) > 0) & (F.size(weak) + F.size(base) > 1), found).otherwise(F.array().cast(SPANS))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 300) -> DataFrame:
     """Spans of secrets in whole texts.
 
-    Returns a row for each input row: doc_id, text_hash (xxhash64), base and added, arrays of structs start, ord, end (exclusive, code
+    Returns a row for each input row: doc_id, base and added, arrays of structs start, ord, end (exclusive, code
     points) and kind.  Base kinds are assign, access and hex; linked weak parts are identifier, mixed or endpoint.
     Null and empty texts have no spans; null ids stay null; rows with one id are apart; other columns are not read.
     Empty table: no rows.
     """
-    scanned = checkpointed(scan(docs, id_col, text_col))
-    out = scanned.join(linked(scanned, scope), "row", "left")
-    return out.select("doc_id", "text_hash", "base", F.coalesce("added", F.array().cast(SPANS)).alias("added"))
+    found = scan(docs.select(F.col(id_col).cast("bigint").alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("t")))
+    return found.select(F.col("r").alias("doc_id"), "base", linked(F.col("base"), F.col("weak"), scope).alias("added"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 300, mark: str = "[secret]") -> DataFrame:
     """Rows as they are, with every span of :func:`find_secrets` replaced by ``mark``; touching or overlapping spans
-    are one.  Rows meet their spans by id and hash of the text, so equal rows share them and each row comes back once.
+    are one.  A row carries its columns along as one struct, whatever their names; null texts stay null.
     """
-    found = find_secrets(docs, id_col, text_col, scope)
-    all_ = F.array_sort(F.concat("base", "added"))
-    found = found.where(F.size("base") + F.size("added") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first(all_).alias("_spans"))
-    own = F.col(text_col)
-    both = docs.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(own) == F.col("_hash")), "left")
+    found = scan(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r"), F.coalesce(docs[text_col], F.lit("")).alias("t")))
+    found = found.select("r", "t", F.array_sort(F.concat("base", linked(F.col("base"), F.col("weak"), scope))).alias("spans"))
+    own = F.col("t")
 
     def cut(acc: Column, s: Column) -> Column:
         gap = F.when(s["start"] > acc["at"], F.concat(F.substring(own, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.when(acc["at"] == 0, F.lit(mark)).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(own, acc["at"] + 1, F.length(own))))
-    return both.select(*(F.when(F.col("_spans").isNotNull(), done).otherwise(own).alias(text_col) if c == text_col else docs[c] for c in docs.columns))
+    done = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(own, acc["at"] + 1, F.length(own))))
+    kept = F.col("r")[text_col]
+    return found.select(*(F.when(F.size("spans") > 0, done).otherwise(kept).alias(c) if c == text_col else F.col("r")[c].alias(c) for c in docs.columns))

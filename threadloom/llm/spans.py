@@ -23,15 +23,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def total(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+def plus(a: Column, b: Column) -> Column:
+    return a + b
 
 
-def running(steps: Column) -> Column:
-    """Running totals of an array of ints."""
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STEP).cast("int")), lambda b: total(F.slice(steps, b * STEP + 1, F.lit(STEP))))
-    starts = let(chunks, lambda c: F.transform(c, lambda _, b: total(F.slice(c, F.lit(1), b))))
-    return let(starts, lambda s: F.transform(steps, lambda _, i: s[F.floor(i / STEP).cast("int")] + total(F.slice(steps, F.floor(i / STEP).cast("int") * STEP + 1, i % STEP + 1))))
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def smaller(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def running(steps: Column, op: Callable[[Column, Column], Column] = plus, zero: int = 0) -> Column:
+    """Running totals (or maxima, minima: ``op`` and its neutral ``zero``) of an array of ints, which is not empty."""
+
+    def fold(some: Column) -> Column:
+        return F.aggregate(some, F.lit(zero), op)
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STEP).cast("int")), lambda b: fold(F.slice(steps, b * STEP + 1, F.lit(STEP))))
+    starts = let(chunks, lambda c: F.transform(c, lambda _, b: fold(F.slice(c, F.lit(1), b))))
+    return let(starts, lambda s: F.transform(steps, lambda _, i: op(s[F.floor(i / STEP).cast("int")], fold(F.slice(steps, F.floor(i / STEP).cast("int") * STEP + 1, i % STEP + 1)))))
 
 
 def located(text: Column, matches: Column, pattern: str, context: int = 0) -> Column:
@@ -39,7 +51,7 @@ def located(text: Column, matches: Column, pattern: str, context: int = 0) -> Co
 
     def place(gaps: Column) -> Column:
         steps = F.transform(matches, lambda _, i: F.length(gaps[i]) + F.when(i > 0, F.length(matches[i - 1])).otherwise(0))
-        return let(let(steps, running), lambda at: F.transform(matches, lambda m, i: F.struct(at[i].alias("start"), (at[i] + F.length(m)).alias("end"), m.alias("text"), (F.right(gaps[i], F.lit(context)) if context else F.lit("")).alias("before"))))
+        return let(let(steps, lambda x: running(x)), lambda at: F.transform(matches, lambda m, i: F.struct(at[i].alias("start"), (at[i] + F.length(m)).alias("end"), m.alias("text"), (F.right(gaps[i], F.lit(context)) if context else F.lit("")).alias("before"))))
 
     none = F.array().cast(FOUND)
     return F.when(F.size(matches) > 0, let(F.split(text, pattern, -1), place).cast(FOUND)).otherwise(none)
