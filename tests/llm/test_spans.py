@@ -2,8 +2,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from llm.corpora import odd_rows, table
+from threadloom.llm import pii as I
+from threadloom.llm import secrets as K
 from threadloom.llm.boosting import boost
 from threadloom.llm.pii import find_pii
 from threadloom.llm.secrets import find_secrets, redact
@@ -56,6 +59,82 @@ def test_base_spans(spark, f, patterns, pieces):
     assert f(table(spark, [])).count() == 0
 
 
+def test_added_secrets_against_brute_force(spark):
+    """Weak parts by the patterns, and every pair of parts looked at for the interval join."""
+    rows = random_texts([*SECRET_PIECES, " filler" * 60, "client_id=ab12", "aB3xY9" * 6 + "."], 8, 300)
+
+    def weak(text):
+        for k, p in K.WEAK.items():
+            for m in re.finditer(p, text):
+                a, own = m.start(), m[0]
+                if k == "mixed":
+                    a, own = a + len(own) - len(own.lstrip(".")), own.strip(".")
+                    if len(own) < K.TOKEN or not all(re.search(c, own) for c in K.CLASSES):
+                        continue
+                yield (a, 3 + list(K.WEAK).index(k), a + len(own), k)
+
+    def brute(text):
+        mine = list(weak(text))
+        parts = [(a, b, K.ROLE[k]) for a, _, b, k in [*mine, *base(SECRETS, text)]]
+        near = lambda s, role: any(r == role and b >= s[0] - 300 and a <= s[2] + 300 for a, b, r in parts)
+        return sorted(s for s in mine if all(near(s, r) for r in K.NEEDS[s[3]]))
+
+    got = {r.doc_id: sorted(map(tuple, r.added)) for r in find_secrets(table(spark, rows)).collect()}
+    want = {i: brute(t) for i, t in rows}
+    assert got == want and sum(map(bool, want.values())) > 50 and any(K.NEEDS and list(weak(t)) and not want[i] for i, t in rows)
+
+
+def test_many_parts_in_a_text(spark):
+    text = "user=bob1 " * 3000 + "aB3xY9" * 6
+    added = find_secrets(table(spark, [(1, text)])).first().added
+    assert {s.kind for s in added} == {"identifier", "mixed"} and all(s.end + 300 >= 30_000 for s in added if s.kind == "identifier") and len(added) == 31
+
+
+ADDRESS = r"[\w.%+-]+(?:(?:@| ?[(\[{] ?[aA][tT] ?[)\]}] ?)[A-Za-z0-9-]+(?:(?:\.| ?[(\[{] ?[dD][oO][tT] ?[)\]}] ?| [dD][oO][tT] )[A-Za-z0-9-]+)*| [aA][tT] [A-Za-z0-9-]+(?: [dD][oO][tT] [A-Za-z0-9-]+)+)"
+OBFUSCATED = ["jo.lee at mail dot example dot org", "amy [at] host (dot) net", "look at this", "(319) 555-0123", "+1 (319) 555-0199 10.20.30.40", "4111 1111 1111 1111 4111 1111 1111 1111", "5105105105105100", "5105105105105101", "kim@host.org", "call +49 (305) 555-0100", " ", " . ", "\n", "visa "]
+
+
+def brute_candidates(text):
+    """(start, ord, end, kind, label, features) by generators in Python and a look at every base match."""
+    found = base(PII, text)
+    order = {"email": 0, "ip": 1, "card": 2, "phone": 3}
+    plainly = lambda s: re.sub(r" ?[(\[{] ?dot ?[)\]}] ?| dot ", ".", re.sub(r" ?[(\[{] ?at ?[)\]}] ?| at ", "@", s, flags=re.I), flags=re.I)
+    for i, ((name, pattern), kind) in enumerate(zip(I.GENERATORS.items(), order, strict=True)):
+        for m in re.finditer(ADDRESS if kind == "email" else pattern, text, re.ASCII):
+            own, before, d = m[0], text[max(0, m.start() - 24) : m.start()].lower(), digits(m[0])
+            if kind == "email":
+                ok = re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", plainly(own)) is not None
+            else:
+                ok = all(int(p) <= 255 for p in own.split(".")) if kind == "ip" else luhn(d) and 14 <= len(d) <= 19 if kind == "card" else 9 <= len(d) <= 15
+            size = 0 if kind == "email" else 3 if kind == "phone" and len(d) > 13 else int(len(d) > 8) if kind == "phone" else sum(len(d) >= n for n in (9, 11, 14, 16, 20))
+            groups = 0 if kind == "email" else min(4, len(re.findall("[ ().-]+", own.lstrip("+"))))
+            x = [size, int(ok), groups, int(kind == "phone" and "(" in own), int(kind == "phone" and "." in own), min(3, plainly(own).count(".")) if kind == "email" else 0, *(int(re.search(c, before) is not None) for c in I.CUES.values())]
+            inside = {k for a, _, b, k in found if a <= m.start() and m.end() <= b}
+            open_ = (kind == "email" and "@" not in own) or (kind == "phone" and own[0] != "+")
+            label = 1 if kind in inside else 0 if inside else None if open_ or ok else 0
+            yield (m.start(), 4 + i, m.end(), name, label, tuple(x))
+
+
+def test_added_personal_data_against_brute_force(spark):
+    import zlib
+
+    rows = random_texts([*PII_PIECES, *OBFUSCATED * 3, "word ", " "], 12, 700)
+    got = {r.doc_id: sorted(map(tuple, r.added)) for r in find_pii(table(spark, rows)).collect()}
+    cells: dict = {}
+    for i, t in rows:
+        held = zlib.crc32(str(i).encode()) % 5 == 0
+        for *_, kind, label, x in brute_candidates(t):
+            if label is not None:
+                k, n = cells.setdefault((kind, held), {}).get(x, (0, 0))
+                cells[kind, held][x] = (k + label, n + 1)
+    models = {k: boost(cells.get((k, False), {}), calibrate=cells.get((k, True), {})) for k in I.GENERATORS}
+    picked = lambda c: c[4] is None and c[5][1] and models[c[3]].margin(c[5]) >= models[c[3]].threshold - 1e-8
+    want = {i: sorted(c[:4] for c in brute_candidates(t) if picked(c)) for i, t in rows}
+    assert got == want
+    texts = {t[a:b] for i, t in rows for a, _, b, _ in want[i]}
+    assert {"jo.lee at mail dot example dot org", "(319) 555-0123", "+1 (319) 555-0199", "4111 1111 1111 1111"} <= texts and "look at this" not in texts
+
+
 def test_no_python_in_native_plans(spark):
     for f in (find_pii, find_secrets):
         plan = f(table(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
@@ -82,6 +161,8 @@ def test_tokens_with_full_stops_and_late_classes(spark):
 def test_redaction(spark):
     rows = [(1, "é token=abcdef1 é"), (2, None), (3, ""), (4, "token=abcdef1token=abcdef2"), (5, "clean"), (5, "clean"), (None, "password: hunter22")]
     df = table(spark, rows)
+    clash = df.withColumns({c: F.lit(1) for c in ("_spans", "_id", "r", "t", "spans", "base", "weak", "m_assign")})
+    assert redact(clash).columns == clash.columns and redact(clash).where("text like '%[secret]%'").count() == 3
     got = redact(df)
     assert got.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, "é [secret] é"), (2, None), (3, ""), (4, "[secret]"), (5, "clean"), (5, "clean"), (None, "[secret]")], key=repr)

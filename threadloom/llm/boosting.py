@@ -46,14 +46,15 @@ class Boosted:
         out = F.lit(float(self.bias))
         for t in self.trees:
             out = out + t.column(features)
-        return out >= F.lit(float(self.threshold) - 1e-9)
+        return out >= F.lit(float(self.threshold) - 1e-8)
 
 
-def boost(cells: dict[tuple[int, ...], tuple[int, int]], rounds: int = 24, rate: float = 0.4, ridge: float = 1.0, precision: float = 0.95, support: int = 20) -> Boosted:
+def boost(cells: dict[tuple[int, ...], tuple[int, int]], calibrate: dict[tuple[int, ...], tuple[int, int]] | None = None, rounds: int = 24, rate: float = 0.4, ridge: float = 1.0, precision: float = 0.95, support: int = 20) -> Boosted:
     """Fits ``cells``: features to (rows with label 1, all rows).
 
-    The threshold is the lowest margin at which cells from the top down hold at least ``precision`` of label 1 and
-    ``support`` rows; where there is none, nothing is selected.
+    The threshold is the lowest margin at which cells of ``calibrate`` (rows that were not fitted; ``cells`` itself if
+    it is None) from the top down hold at least ``precision`` of label 1 and ``support`` rows; where there is none,
+    nothing is selected.
     """
     xs = sorted(cells)
     pos, all_ = [cells[x][0] for x in xs], [cells[x][1] for x in xs]
@@ -79,10 +80,11 @@ def boost(cells: dict[tuple[int, ...], tuple[int, int]], rounds: int = 24, rate:
             break
         trees.append(best)
         margin = [m + best.value(x) for m, x in zip(margin, xs, strict=True)]
+    model = Boosted(bias, tuple(trees), math.inf)
     threshold, hit, seen = math.inf, 0, 0
-    ranked = sorted(zip(margin, pos, all_, strict=True), reverse=True)
+    ranked = sorted(((round(model.margin(x), 9), k, n) for x, (k, n) in (cells if calibrate is None else calibrate).items()), reverse=True)
     for i, (m, k, n) in enumerate(ranked):
         hit, seen = hit + k, seen + n
         if (i + 1 == len(ranked) or ranked[i + 1][0] < m) and seen >= support and hit >= precision * seen:
             threshold = m
-    return Boosted(bias, tuple(trees), threshold)
+    return Boosted(bias, model.trees, threshold)
