@@ -86,5 +86,5 @@ def boost(cells: dict[tuple[int, ...], tuple[int, int]], calibrate: dict[tuple[i
     for i, (m, k, n) in enumerate(ranked):
         hit, seen = hit + k, seen + n
         if (i + 1 == len(ranked) or ranked[i + 1][0] < m) and seen >= support and hit >= precision * seen:
-            threshold = m
+            threshold = m - 1e-9  # of a rounded margin
     return Boosted(bias, model.trees, threshold)
