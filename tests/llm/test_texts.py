@@ -1,5 +1,6 @@
 """SentencePiece, sharding, toxicity, decontamination and near-duplicates."""
 
+import math
 import random
 import re
 import zlib
@@ -86,29 +87,83 @@ def edits(a, b):
     return row[-1]
 
 
+def brute_look_up(whole, beginnings, ordinary, w):
+    if w in whole:
+        return False, whole[w]
+    if starts := [b for b in beginnings if w.startswith(b)]:
+        return False, beginnings[max(starts, key=len)]
+    if w in ordinary or w.isdigit():
+        return None
+    near = [x for t, x in whole.items() if X.allowed(len(t), False) and edits(w, t) <= X.allowed(len(t), False)]
+    near += [x for b, x in beginnings.items() if X.allowed(len(b), True) and any(edits(w[:n], b) <= X.allowed(len(b), True) for n in range(len(w) + 1))]
+    return (True, max(near)) if near else None
+
+
+WHOLE = {"abcab": 1.0, "cabba": 2.0, "bbccaa": 3.0, "acb": 9.0, "abca": 1.5, "abcabcabcabc": 7.0, "ccbbaaccbbaacc": 8.0}
+BEGINNINGS = {"ccc": 4.0, "cc": 0.5, "bbbbb": 5.0, "baacb": 2.5}
+
+
 def test_automata_and_lexicon():
     r = random.Random(2)
     text = lambda n: "".join(r.choice("abc") for _ in range(r.randrange(0, n)))
-    lexicon = X.Lexicon({"abcab": 1.0, "cabba": 2.0, "bbccaa": 3.0}, {"ccc": 4.0, "cc": 0.5})
-    for _ in range(3000):
+    lexicon = X.Lexicon(WHOLE, BEGINNINGS, frozenset(["abcaa", "bbbb"]))
+    for k in range(4000):
         a, b = text(8), text(8)
         for most in (1, 2):
             automaton = X.Levenshtein(a, most)
             state = automaton.start()
             for c in b:
-                state = automaton.step(state, c)
-            assert automaton.edits(state) == (edits(a, b) if edits(a, b) <= most else None)
-        w = text(9)
-        near = [x for t, x in lexicon.whole.items() if edits(w, t) <= 1]
-        want = (False, lexicon.whole[w]) if w in lexicon.whole else (False, 4.0) if w.startswith("ccc") else (False, 0.5) if w.startswith("cc") else (True, max(near)) if near else None
-        assert lexicon.look_up(w) == want
+                state = state and automaton.step(state, c)
+            assert (state and automaton.edits(state)) == (edits(a, b) if edits(a, b) <= most else None)
+        w = list(text(9) if k % 2 else r.choice([*WHOLE, *BEGINNINGS]) + text(4))
+        for _ in range(r.randrange(3)):
+            i = r.randrange(len(w) + 1)
+            w[i : i + r.randrange(2)] = r.choice(["a", "b", "0", ""])
+        assert lexicon.look_up("".join(w)) == brute_look_up(lexicon.whole, lexicon.beginnings, lexicon.ordinary, "".join(w)), w
+
+
+def test_very_long_terms_travel():
+    import pickle
+
+    long = "x" * 30_000
+    lexicon = pickle.loads(pickle.dumps(X.Lexicon({long: 1.0}, {})))
+    assert lexicon.look_up(long) == (False, 1.0) and lexicon.look_up(long[1:]) == (True, 1.0) and lexicon.look_up(long[3:]) is None
 
 
 def test_quotation():
     s = X.Scanner(X.Lexicon({"idiot": 5.0}, {}))
     assert s.features("You idiot!")[:4] == [5.0, 5.0, 0.0, 0.0]
-    assert s.features("You idiiot!")[:4] == [0.0, 0.0, 5.0, 0.0]
+    assert s.features("You idiiot!")[:4] == s.features("You idi0t!")[:4] == [0.0, 0.0, 5.0, 0.0]
     assert s.features('They wrote "you idiot" once')[3] == s.features("The word idiot is old")[3] == 5.0
+    assert s.features('One "' + "far " * 500 + 'idiot" here')[3] == 5.0  # however long the line
+    assert s.features('One "\nidiot" here')[3] == s.features('"One" idiot here')[3] == 0.0
+
+
+def brute_features(text, lexicon):
+    """Features by definition: each word against each term, quotation by counting marks from the line's start."""
+    low = text.lower()
+    ms = list(re.finditer(r"[^\W_]+", low))
+    found = set()
+    for i, m in enumerate(ms):
+        hit = brute_look_up(lexicon.whole, lexicon.beginnings, lexicon.ordinary, m[0])
+        if hit:
+            start, end = low.rfind("\n", 0, m.start()) + 1, (low + "\n").find("\n", m.end())
+            before, after = X.MARKS.findall(low[start : m.start()]), X.MARKS.findall(low[m.end() : end])
+            found.add((m[0], bool(len(before) % 2 and after) or bool({x[0] for x in ms[max(0, i - 3) : i]} & X.REPORTING), hit))
+    plain = [x for _, aside, (odd, x) in found if not aside and not odd]
+    return [max(plain, default=0.0), sum(plain), sum(x for _, aside, (odd, x) in found if odd and not aside), sum(x for _, aside, (_, x) in found if aside), float(len(ms))]
+
+
+def test_score_against_brute_force(spark):
+    r = random.Random(4)
+    pieces = [*WHOLE, *(b + "ca" for b in BEGINNINGS), "abcaba", "ccabba", "wort", "said", '"', "«", "\n", "plain", "12", "abca", "ac", "cabca1"]
+    rows = [(i, "".join(r.choice(pieces) + r.choice([" ", " ", ", ", "_", ""]) for _ in range(r.randrange(0, 30)))) for i in range(300)]
+    model = X.Model(X.Lexicon(WHOLE, BEGINNINGS, frozenset(["abcaba"])), [1.5, 0.5, 0.25, -1.0, -0.1], -2.0)
+    got = {x.doc_id: (list(x.features), x.score) for x in X.score_toxicity(table(spark, rows), model).collect()}
+    for i, t in rows:
+        f = brute_features(t, model.lexicon)
+        z = model.bias + sum(w * math.log1p(x) for w, x in zip(model.weights, f, strict=True))
+        assert np.allclose(got[i][0], f, atol=1e-6) and abs(got[i][1] - 1 / (1 + math.exp(-z))) < 1e-6
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
@@ -119,7 +174,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
         ws = [r.choice(plain) for _ in range(r.randrange(5, 40))]
         bad = i % 6 == 0
         if bad:
-            ws.insert(r.randrange(len(ws)), r.choice(["loser", "idiot", "skum" + r.choice(["a", "en", "ix"])]))
+            ws.insert(r.randrange(len(ws)), r.choice(["loser", "idiot", "idi0t", "skum" + r.choice(["a", "en", "ix"])]))
         rows.append((i, " ".join(ws)))
         labels.append((i, int(bad)))
     labels += [(None, 1), (3, None), (10_000, 1)]

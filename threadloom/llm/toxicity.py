@@ -1,15 +1,18 @@
 """Toxicity scores from a lexicon that is searched with Levenshtein automata (operator 6).
 
 The lexicon is learnt: words, and beginnings that many words share, with the log ratio of their rates in toxic and
-other labelled documents as weight.  It is kept as a trie; for each distinct word of a text a Levenshtein automaton is
-run against it, so misspelled terms are found too.  A window around each hit tells quotation (inside quotation marks,
-behind a verb of reporting) from abuse.  Weights of hits by kind go into a logistic regression.
+other labelled documents as weight.  It is kept as tries; for each distinct word of a text a Levenshtein automaton is
+run against them, so misspelled terms and inflected forms of misspelled beginnings are found too.  How many edits a
+term allows follows from its length alone.  Words that the labelled documents know as ordinary ones are not taken for
+misspellings.  A window around each hit tells quotation (inside quotation marks, behind a verb of reporting) from
+abuse.  Weights of hits by kind go into a logistic regression.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,92 +24,105 @@ from pyspark.sql import functions as F
 
 from threadloom.session import checkpointed
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W_]+")  # digits stay inside words: they stand for letters in some misspellings
 PREFIXES = range(3, 9)
 #: Verbs and nouns that announce a quotation, and marks that open or close one.
 REPORTING = frozenset("said says wrote writes called quoted quote word term dit écrit mot cite sagte schrieb zitat wort dijo escribió cita palabra".split())
 MARKS = re.compile("[\"“”„«»]")
 FEATURES = ("strongest plain term", "plain terms", "misspelled terms", "quoted terms", "words")
-COMMON = 0.05  # share of toxic documents from which a term is worth a search for its misspellings
+ORDINARY = 3  # documents of the other label that make a word an ordinary one
 CACHED = 200_000  # words remembered in each of two generations
 
 
+def allowed(letters: int, beginning: bool) -> int:
+    """Edits that a term of so many letters allows."""
+    return 0 if letters < 4 + beginning else 1 if letters < 12 else 2
+
+
 class Levenshtein:
-    """Automaton of all words within ``most`` edits of ``word``: a state is the set of (place, edits) still open."""
+    """Automaton of all words within ``most`` edits of ``word``.  A state has a number for each count of edits: bit i
+    of number e says that the first i letters can have been read with e edits at most."""
 
     def __init__(self, word: str, most: int):
-        self.word, self.most = word, most
-
-    def start(self) -> tuple[tuple[int, int], ...]:
-        return tuple((i, i) for i in range(min(self.most, len(self.word)) + 1))
+        self.most, self.whole = most, 1 << len(word)
+        self.inside = 2 * self.whole - 1
+        self.places: dict[str, int] = {}
+        for i, c in enumerate(word):
+            self.places[c] = self.places.get(c, 0) | 1 << i
+
+    def start(self) -> tuple[int, ...]:
+        return tuple((2 << e) - 1 & self.inside for e in range(self.most + 1))
+
+    def step(self, state: tuple[int, ...], c: str) -> tuple[int, ...] | None:
+        """The state after ``c``; None if no word goes on like that."""
+        fits, below = self.places.get(c, 0), state[0]
+        new = (below & fits) << 1
+        out = [new]
+        for e in range(1, self.most + 1):
+            now = state[e]
+            # as it is; c is too many; c for another letter; a letter is left out
+            new = ((now & fits) << 1 | below | (below | new) << 1) & self.inside
+            out.append(new)
+            below = now
+        return tuple(out) if new else None
+
+    def edits(self, state: tuple[int, ...]) -> int | None:
+        """Edits if the other word ends here; None if it isn't accepted."""
+        return next((e for e in range(self.most + 1) if state[e] & self.whole), None)
 
-    def step(self, state: tuple[tuple[int, int], ...], c: str) -> tuple[tuple[int, int], ...]:
-        out: dict[int, int] = {}
 
-        def put(i: int, e: int) -> None:
-            if e <= self.most and e < out.get(i, self.most + 1):
-                out[i] = e
+def shortened(word: str) -> list[str]:
+    """The word, and what it is without each of its letters: words one edit apart share one of these."""
+    return [word, *[word[:i] + word[i + 1 :] for i in range(len(word))]]
 
-        for i, e in state:
-            put(i, e + 1)  # c is too many in the other word
-            if i < len(self.word):
-                put(i + 1, e + (self.word[i] != c))
-        for i in sorted(out):
-            for k in range(1, self.most - out[i] + 1):
-                if i + k <= len(self.word):
-                    put(i + k, out[i] + k)  # skipped letters
-        return tuple(sorted(out.items()))
 
-    def edits(self, state: tuple[tuple[int, int], ...]) -> int | None:
-        """Edits if the other word ends here; None if it isn't accepted."""
-        return min((e + len(self.word) - i for i, e in state if e + len(self.word) - i <= self.most), default=None)
+def grow(node: dict, term: str, kind: str, weight: float) -> None:
+    for c in term:
+        node = node.setdefault(c, {})
+    node[kind] = weight
 
 
 @dataclass
 class Lexicon:
-    """whole: weights of terms that are words; beginnings: of terms that words start with; common: the whole terms
-    that are looked for misspelled too (None: all that no beginning takes in); least: letters that takes; most: edits
-    (the halves that are looked for first hold for one)."""
+    """whole: weights of terms that are words; beginnings: of terms that words start with; ordinary: words that are
+    no misspellings however near a term they are."""
 
     whole: dict[str, float]
     beginnings: dict[str, float]
-    common: frozenset[str] | None = None
-    least: int = 5
-    most: int = 1
+    ordinary: frozenset[str] = frozenset()
     trie: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self.fuzzy: dict[int, dict] = {}  # tries by edits
+        self.near, self.fronts = set(), set()  # shortened terms and beginnings that allow one edit
+        self.pieces: dict[tuple[int, int], set[str]] = {}  # by place and size: of terms that allow two
         for terms, kind in ((self.whole, "whole"), (self.beginnings, "start")):
             for term, weight in terms.items():
-                node = self.trie
-                for c in term:
-                    node = node.setdefault(c, {})
-                node[kind] = weight
-        self.fuzzy: dict = {}
-        self.halves: dict[tuple[str, int], set[int]] = {}
-        for term, weight in self.whole.items():
-            if len(term) < self.least or (self.common is not None and term not in self.common) or any(term.startswith(b) for b in self.beginnings):
-                continue
-            node = self.fuzzy
-            for c in term:
-                node = node.setdefault(c, {})
-            node["whole"] = weight
-            # one edit leaves the first or the second half of a term as it is, where it is
-            for side, half in enumerate((term[: len(term) // 2], term[len(term) // 2 :])):
-                self.halves.setdefault((half, side), set()).update(range(len(term) - self.most, len(term) + self.most + 1))
-        self.sizes = sorted({(side, len(half)) for half, side in self.halves})
-
-    def may_be_misspelled(self, word: str) -> bool:
-        n = len(word)
-        for side, k in self.sizes:
-            found = self.halves.get((word[n - k :] if side else word[:k], side)) if k <= n else None
-            if found is not None and n in found:
-                return True
-        return False
+                grow(self.trie, term, kind, weight)
+                most = allowed(len(term), kind == "start")
+                if not most:
+                    continue
+                grow(self.fuzzy.setdefault(most, {}), term, kind, weight)
+                if most == 1:
+                    (self.near if kind == "whole" else self.fronts).update(shortened(term))
+                else:  # two edits leave one of three pieces as it is, moved by two places at most
+                    cuts = [len(term) * i // 3 for i in range(4)]
+                    for a, b in zip(cuts, cuts[1:], strict=False):
+                        self.pieces.setdefault((a, b - a), set()).add(term[a:b])
+        sizes = {len(b) for b in self.beginnings if allowed(len(b), True) == 1}
+        self.reach = sorted({n + d for n in sizes for d in (-1, 0, 1)})
+
+    def may_be_misspelled(self, word: str, most: int) -> bool:
+        """Cheap, and never False for a word that some term accepts with so many edits."""
+        if most == 2:
+            return any(word[at : at + k] in known for (a, k), known in self.pieces.items() for at in range(max(0, a - 2), a + 3))
+        if len(word) <= 13 and not self.near.isdisjoint(shortened(word)):
+            return True
+        return any(not self.fronts.isdisjoint(shortened(word[:n])) for n in self.reach)
 
     def look_up(self, word: str) -> tuple[bool, float] | None:
-        """Is it misspelled, and the weight of its term: the word itself, else its longest beginning, else a term
-        within the allowed edits."""
+        """Is it misspelled, and the weight of its term: the word itself, else its longest beginning, else the
+        weightiest term or beginning within the edits that it allows."""
         node, start = self.trie, None
         for c in word:
             node = node.get(c)
@@ -118,22 +134,39 @@ class Lexicon:
                 return False, node["whole"]
         if start is not None:
             return False, start
-        if not self.may_be_misspelled(word):
+        if word in self.ordinary or word.isdigit():
             return None
-        automaton = Levenshtein(word, self.most)
-        found = self.meet(automaton, self.fuzzy, automaton.start(), 0)
+        found = self.misspelled(word)
         return None if found is None else (True, found)
 
-    def meet(self, automaton: Levenshtein, node: dict, state: tuple, depth: int) -> float | None:
-        """The largest weight of words below here that trie and automaton both accept."""
-        best = node.get("whole") if depth >= self.least and automaton.edits(state) is not None else None
-        for c, below in node.items():
-            if len(c) == 1 and (after := automaton.step(state, c)):
-                found = self.meet(automaton, below, after, depth + 1)
+    def misspelled(self, word: str) -> float | None:
+        best = None
+        for most, trie in self.fuzzy.items():
+            if self.may_be_misspelled(word, most):
+                automaton = Levenshtein(word, most)
+                found = self.meet(automaton, trie, automaton.start())
                 if found is not None and (best is None or found > best):
                     best = found
         return best
 
+    def meet(self, automaton: Levenshtein, trie: dict, start: tuple[int, ...]) -> float | None:
+        """The largest weight of terms that trie and automaton both accept; a beginning is accepted by any state, as
+        what is left of the word may follow it."""
+        best = None
+        open_ = [(trie, start)]
+        while open_:
+            node, state = open_.pop()
+            for c, below in node.items():
+                if len(c) == 1:
+                    if (after := automaton.step(state, c)) is not None:
+                        open_.append((below, after))
+                elif (best is None or below > best) and (c == "start" or automaton.edits(state) is not None):
+                    best = below
+        return best
+
+    def __reduce__(self):
+        return Lexicon, (self.whole, self.beginnings, self.ordinary)
+
 
 class Scanner:
     """Features of texts; one for each task."""
@@ -159,8 +192,9 @@ class Scanner:
         out[4] = float(len(words))
         if hits:
             at = [m.span() for m in WORD.finditer(lowered)]
+            marks, breaks = [m.start() for m in MARKS.finditer(lowered)], [i for i, c in enumerate(lowered) if c == "\n"]
             # each term counts once for its plain uses and once for its quoted ones
-            for word, aside in sorted({(words[i], self.quoted(lowered, words, i, at[i])) for i in hits}):
+            for word, aside in sorted({(words[i], self.quoted(words, i, at[i][0], marks, breaks, len(lowered))) for i in hits}):
                 misspelled, weight = slow(word)
                 if aside:
                     out[3] += weight
@@ -172,12 +206,12 @@ class Scanner:
         return [round(x, 6) for x in out]
 
     @staticmethod
-    def quoted(text: str, words: list[str], i: int, at: tuple[int, int]) -> bool:
+    def quoted(words: list[str], i: int, at: int, marks: list[int], breaks: list[int], size: int) -> bool:
         """Is the word between quotation marks of its line, or close behind a word of reporting?"""
-        start = max(text.rfind("\n", 0, at[0]) + 1, at[0] - 200)
-        end = text.find("\n", at[1], at[1] + 200)
-        after = MARKS.search(text, at[1], end if end >= 0 else at[1] + 200)
-        inside = after is not None and len(MARKS.findall(text, start, at[0])) % 2 == 1
+        line = bisect_left(breaks, at)
+        start, end = breaks[line - 1] if line else -1, breaks[line] if line < len(breaks) else size
+        before = bisect_left(marks, at)
+        inside = (before - bisect_left(marks, start)) % 2 == 1 and before < len(marks) and marks[before] < end
         return inside or not REPORTING.isdisjoint(words[max(0, i - 3) : i])
 
 
@@ -197,11 +231,12 @@ def fold(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_terms: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000) -> Model:
     """Learns lexicon and weights from labelled rows that aren't held out.
 
-    ``max_rows`` bounds the labelled rows used (a hash of the id decides which; documented sample for fitting only),
-    ``max_terms`` the term counts that reach the driver.
+    ``max_rows`` bounds the labelled rows used (a hash of the id decides which; documented sample for fitting only).
+    Terms need 1 % of the toxic ones of these, so no more than a hundred times the words of one document reach the
+    driver, and ordinary words only where they are near a term.
     """
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     n = some.count()
@@ -232,13 +267,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], names=["term", "pos", "neg"])
 
     counts = train.mapInArrow(count, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counts = checkpointed(counts.where(F.col("pos") >= 5))
+    word = ~F.endswith("term", F.lit("*"))
+    usual = F.col("neg") >= ORDINARY
+    counts = checkpointed(counts.where((F.col("pos") >= 5) | (usual & word) | (F.col("term") == "")))
     pos, neg = counts.where("term = ''").agg(F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum("neg"), F.lit(0))).first()
     least = max(5, -(-pos // 100))
     often = (F.col("pos") >= least) & (F.col("pos") * (neg + 1) >= 4 * (pos + 1) * F.col("neg"))
-    rows = counts.where(often & (F.col("term") != "")).orderBy(F.desc("pos"), "term").limit(max_terms).collect()
+    rows = counts.where(often & (F.col("term") != "")).collect()
     lexicon = choose({r.term: (r.pos, r.neg) for r in rows}, pos, neg)
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([lexicon.misspelled(w) is not None for w in batch.column("term").to_pylist()], pa.bool_()))
+
+    ordinary = counts.where(usual & word & (F.col("term") != "") & (F.col("neg") * (pos + 1) >= F.col("pos") * (neg + 1))).select("term")
+    lexicon = Lexicon(lexicon.whole, lexicon.beginnings, frozenset(r.term for r in ordinary.mapInArrow(near, "term string").collect()))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(lexicon)
         for batch in batches:
@@ -263,8 +307,7 @@ def choose(counts: dict[str, tuple[int, int]], pos: int, neg: int) -> Lexicon:
         for k in range(1, len(stem) + (not t.endswith("*"))):
             covered[stem[:k]] = max(p, covered.get(stem[:k], 0))
     starts = {t[:-1]: w for t, w in weight.items() if t.endswith("*") and covered.get(t[:-1], 0) < 0.9 * counts[t][0]}
-    common = frozenset(t for t, (p, _) in counts.items() if p >= COMMON * pos)
-    return Lexicon({t: w for t, w in weight.items() if not t.endswith("*")}, starts, common)
+    return Lexicon({t: w for t, w in weight.items() if not t.endswith("*")}, starts)
 
 
 def regression(x: list[list[float]], pos: list[int], n: list[int], ridge: float = 0.05, rounds: int = 60) -> tuple[list[float], float]:
