@@ -1,6 +1,9 @@
+import numpy as np
 import pytest
 
 from llm.corpora import odd_rows, random_rows, table
+from threadloom.llm import blocks as B
+from threadloom.llm import repeats as R
 from threadloom.llm.repeats import COVERS
 from threadloom.llm.substring import dedup_substrings
 from threadloom.llm.suffix import dedup_suffixes
@@ -37,10 +40,7 @@ def raw(t):
 CASES = [("words", dedup_substrings, words, 13), ("words of 8", dedup_substrings, words, 8), ("bytes", dedup_suffixes, raw, 50), ("bytes of 38", dedup_suffixes, raw, 38)]
 
 
-@pytest.mark.parametrize(("name", "f", "units", "window"), CASES, ids=[c[0] for c in CASES])
-@pytest.mark.parametrize("corpus", ["odd", "random"])
-def test_against_brute_force(spark, name, f, units, window, corpus):
-    rows = [(i, t[:3000] if t else t) for i, t in odd_rows()] if corpus == "odd" else random_rows(window)
+def check(spark, f, units, window, rows):
     got = []
     for r in f(table(spark, rows), window=window, block_bytes=4000).collect():
         n = r[1]
@@ -57,6 +57,46 @@ def test_against_brute_force(spark, name, f, units, window, corpus):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize(("name", "f", "units", "window"), CASES, ids=[c[0] for c in CASES])
+@pytest.mark.parametrize("corpus", ["odd", "random"])
+def test_against_brute_force(spark, name, f, units, window, corpus):
+    check(spark, f, units, window, [(i, t[:3000] if t else t) for i, t in odd_rows()] if corpus == "odd" else random_rows(window))
+
+
+@pytest.mark.parametrize(("f", "units", "window"), [(dedup_substrings, words, 13), (dedup_suffixes, raw, 50)])
+def test_hot_ids(spark, f, units, window):
+    """An id with most of all rows is dealt over blocks, and its rows are still not earlier than each other."""
+    texts = [t for _, t in random_rows(5, 150) + random_rows(6, 150)]
+    rows = [(7 if k % 3 else None if k % 9 == 0 else k, t) for k, t in enumerate(texts)]
+    lay = B.layout(table(spark, rows), "doc_id", "text", 4000)
+    assert lay.ways.max() > 3 and lay.blocks > len(lay.ways) > 3
+    check(spark, f, units, window, rows)
+
+
+@pytest.mark.parametrize(("f", "units", "window", "name"), [(dedup_substrings, words, 13, "word_hashes"), (dedup_suffixes, raw, 50, "byte_hashes")])
+@pytest.mark.parametrize("at_once", [B.AT_ONCE, 500])
+def test_colliding_hashes(spark, monkeypatch, f, units, window, name, at_once):
+    """First hashes of six bits: what tells windows apart is the second one."""
+    own, layout = getattr(R, name), B.layout
+
+    def few_bits(units, at, n, lane):
+        h = own(units, at, n, lane)
+        return h if lane else h & np.uint64(63 << 58)
+
+    spec = R.Spec(window, 7 if f is dedup_substrings else 31, R.word_units if f is dedup_substrings else R.byte_units, few_bits)
+    monkeypatch.setattr("threadloom.llm.substring.WORDS", lambda w: spec)
+    monkeypatch.setattr("threadloom.llm.suffix.BYTES", lambda w: spec)
+    monkeypatch.setattr(B, "AT_ONCE", at_once)
+
+    def huge(*args):
+        lay = layout(*args)
+        lay.total_bytes = 1 << 50
+        return lay
+
+    monkeypatch.setattr(B, "layout", huge)
+    check(spark, f, units, window, random_rows(window))
+
+
 @pytest.mark.parametrize("f", [dedup_substrings, dedup_suffixes])
 def test_empty_table(spark, f):
     assert f(table(spark, [])).collect() == []
