@@ -29,14 +29,14 @@ def brute(rows, ask, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bands", [(2048, 16384), (7, 40)])
+@pytest.mark.parametrize("bands", [64 << 20, 24 * 8 * 30])
 def test_against_brute_force(spark, bands):
     r = random.Random(4)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(300)]
     rows += [(1000 + i, list(rows[20][1])) for i in range(60)]  # one vector many times
     rows += [(400, None), (500, [0.0] * 8), (600, [1.0, None] + [0.0] * 6), (700, [float("nan")] * 8), (800, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (900, []), (1100, [1.0, 2.0]), (1200, [1.0, 2.5]), (20, rows[20][1]), (30, [9.0] * 8)]
     df = frame(spark, rows)
-    got = nearest(df, df.where("vec_id % 20 = 0"), 10, query_band=bands[0], candidate_band=bands[1]).collect()
+    got = nearest(df, df.where("vec_id % 20 = 0"), 10, band_bytes=bands).collect()
     assert sorted(tuple(x) for x in got) == brute(rows, lambda i: i % 20 == 0, 10)
 
 
@@ -47,6 +47,14 @@ def test_few_and_none(spark):
     assert nearest(empty, empty).count() == 0 and nearest(df, empty).count() == 0
 
 
+def test_distances_beyond_doubles(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 2.0]), (2, [-1e200, 1.0]), (3, [3.0, 1.0]), (4, [4.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.score) for r in nearest(df, df.where("vec_id in (0, 3)")).orderBy("query_id", "rank").collect()]
+    inf = float("inf")
+    assert got == [(0, 1, 1.0), (0, 2, inf), (0, 3, inf), (0, 4, inf), (3, 4, 1.0), (3, 0, inf), (3, 1, inf), (3, 2, inf)]
+
+
 def test_bounds_hold():
     r = np.random.default_rng(1)
     for scale in (1e-6, 1.0, 1e6):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EXACT = 1024  # dimensions whose int8 products add up exactly in float32
+HELD = 24  # bytes that a task holds for each component
 
 
 class Coded:
@@ -33,7 +34,7 @@ class Coded:
         self.length = np.sqrt(np.einsum("ij,ij->i", back, back))
         self.codes = codes.astype(np.float32)
 
-    def bounds(self, other: "Coded", rows: slice, cols: slice) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, other: Coded, rows: slice, cols: slice) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of squared distances in a tile."""
         product = np.zeros((rows.stop - rows.start, cols.stop - cols.start))
         for d in range(0, self.codes.shape[1], EXACT):
@@ -42,7 +43,8 @@ class Coded:
         error = self.left[rows, None] * (other.length + other.left)[None, cols] + self.length[rows, None] * other.left[None, cols]
         error = error * (1 + 1e-9) + 1e-12 * (self.norm[rows, None] + other.norm[None, cols])
         middle = self.norm[rows, None] + other.norm[None, cols] - 2 * product
-        return middle - 2 * error, middle + 2 * error
+        # where squares leave the range of doubles nothing is known
+        return np.nan_to_num(middle - 2 * error, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(middle + 2 * error, nan=np.inf, posinf=np.inf, neginf=np.inf)
 
 
 def distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -56,7 +58,12 @@ def distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def tile(q_ids, q, c_ids, c, k: int, width: int = 2048, height: int = 512):
     """The k nearest distinct candidates of each query within a tile."""
-    queries, cands = Coded(q), Coded(c)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return search(q_ids, Coded(q), c_ids, Coded(c), k, width, height)
+
+
+def search(q_ids, queries: Coded, c_ids, cands: Coded, k: int, width: int, height: int):
+    q, c = queries.x, cands.x
     best: list[list[tuple[float, int]]] = [[] for _ in q_ids]  # heaps with the worst in front, as negatives
     limit = np.full(len(q_ids), np.inf)
     for a in range(0, len(c_ids), width):
@@ -73,8 +80,6 @@ def tile(q_ids, q, c_ids, c, k: int, width: int = 2048, height: int = 512):
                 heap, js = best[b + i], js + a
                 ds = distances(q[b + i], c[js])
                 for d, j in sorted(zip(ds.tolist(), c_ids[js].tolist(), strict=True))[:k]:
-                    if not np.isfinite(d):
-                        continue
                     if len(heap) < k:
                         heapq.heappush(heap, (-d, -j))
                     elif (-d, -j) > heap[0]:
@@ -92,22 +97,26 @@ def survivors(keep: np.ndarray):
             yield i, cols[edge[i] : edge[i + 1]]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", query_band: int = 2048, candidate_band: int = 16384) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", band_bytes: int = 64 << 20) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` for each row of ``queries`` by Euclidean distance.
 
     Returns query_id, rank (from 1), vec_id and score: nearest first, ties to the smaller vec_id, all candidates if
-    they are fewer.  Rows with the query's own id are no candidates.  Vectors that are null, empty, zero, or hold null or non-finite
+    they are fewer.  A tile holds ``band_bytes`` of either side at most, so each side travels once for so much of the
+    other, and not more often.  Rows with the query's own id are no candidates.  Vectors that are null, empty, zero, or hold null or non-finite
     components take no part, nor do null ids.  Distances are taken between vectors of one length only.  Of several
-    vectors with one id, a query uses the smallest and a result the nearest.  Other columns are not read.  Empty
+    vectors with one id, a query uses the smallest and a result the nearest.  Distances beyond the range of doubles are
+    infinite and tie.  Other columns are not read.  Empty
     tables: no rows.
     """
     x = F.col(vector_col).cast("array<double>")
     usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.exists(x, lambda v: v != 0)
     cand = vectors.where(usable).select(F.col(id_col).cast("bigint").alias("id"), x.alias("x"))
     ask = queries.where(usable).select(F.col(id_col).cast("bigint").alias("id"), x.alias("x")).groupBy("id").agg(F.min("x").alias("x"))
-    n_cand, n_ask = cand.count(), ask.count()
+    n_cand, length = cand.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(1))).first()
+    n_ask = ask.count()
+    most = max(1, band_bytes // (HELD * length))  # rows of a band
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wide, high = max(-(-n_cand // candidate_band), min(tasks, n_cand // 512), 1), max(1, -(-n_ask // query_band))
+    wide, high = max(-(-n_cand // most), min(tasks, n_cand // 512), 1), max(1, -(-n_ask // most))
 
     def band(n: int):
         return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")

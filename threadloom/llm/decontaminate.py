@@ -5,8 +5,9 @@ item.  Training words are streamed through it, keeping the length of the longest
 that reaches ``window`` words, or a whole shorter item, the words under it are hit.
 
 The automaton's size follows the benchmark, not the corpus.  Items are dealt to parts of at most ``part_words``
-words, in order of their ids, and each part has an automaton of its own (a bounded broadcast); documents pass
-through the parts one after the other within one stage, so a larger benchmark costs passes but no more memory a part.
+words, in order of their ids, and each part has an automaton of its own (a bounded broadcast).  A task takes up some
+documents and meets them with one automaton after the other, each loaded when its turn comes and let go after it, so a
+larger benchmark costs passes, but a task never holds more than one automaton and the documents it took up.
 """
 
 from __future__ import annotations
@@ -144,19 +145,37 @@ class Automaton:
                 yield a, b + 1
 
 
-def parts(benchmark: DataFrame, id_col: str, text_col: str, window: int, part_words: int) -> list[Automaton]:
-    out: list[Automaton] = []
+TAKEN_UP = 32 << 20  # bytes of text that meet an automaton at a time, where there are several
+
+
+def parts(benchmark: DataFrame, id_col: str, text_col: str, window: int, part_words: int) -> Iterator[Automaton]:
+    """One after the other; the driver holds one at a time, and a partition of the items."""
     chunk: list[tuple[str | None, list[bytes]]] = []
     size = 0
     for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).orderBy("i", "t").toLocalIterator():
         ws = words(row["t"])
         if ws:
             if chunk and size + len(ws) > part_words:
-                out.append(Automaton(chunk, window))
+                yield Automaton(chunk, window)
                 chunk, size = [], 0
             chunk.append((row["i"], ws))
             size += len(ws)
-    return [*out, *([Automaton(chunk, window)] if chunk else [])]
+    yield Automaton(chunk, window)
+
+
+def taken_up(batches: Iterator[pa.RecordBatch], several: bool) -> Iterator[pa.RecordBatch]:
+    """Batches as they come, or joined up to ``TAKEN_UP``."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not several:
+            yield batch
+            continue
+        some.append(batch)
+        if sum(b.nbytes for b in some) >= TAKEN_UP:
+            yield pa.concat_batches(some)
+            some = []
+    if some:
+        yield pa.concat_batches(some)
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, max_length: int = 0, max_coverage: float = 0.0, part_words: int = 500_000, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -174,38 +193,33 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     sc = docs.sparkSession.sparkContext
     kept = [f"c_{c}" for c in carry]
     more = "".join(f", {k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, carry, strict=True))
-    shared = [sc.broadcast(a) for a in parts(benchmark, item_col, item_text, window, part_words)] or [sc.broadcast(Automaton([], window))]
-
-    def scan(k: int, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a = shared[k].value
-            for batch in batches:
-                ids, texts, hits, items = (batch.column(c) for c in ("doc_id", "text", "hits", "items"))
-                along = [batch.column(c) for c in kept]
-                n, spans, of = [], [], []
-                for t, h, i in zip(texts.to_pylist(), hits.to_pylist(), items.to_pylist(), strict=True):
+    shared = [sc.broadcast(a) for a in parts(benchmark, item_col, item_text, window, part_words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in taken_up(batches, len(shared) > 1):
+            texts = batch.column("text").to_pylist()
+            n = [0] * len(texts)
+            flat: list[list[int]] = [[] for _ in texts]
+            items: list[set[str]] = [set() for _ in texts]
+            for b in shared:
+                automaton = b.value
+                for i, t in enumerate(texts):
                     ws = words(t or "")
-                    found, more = a.scan(ws)
-                    n.append(len(ws))
-                    spans.append(union([*h, *(x for span in found for x in span)]))
-                    of.append(sorted({*i, *more}))
-                if not last:
-                    flat = pa.array([[x for span in s for x in span] for s in spans], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([ids, texts, flat, pa.array(of, pa.list_(pa.string())), *along], names=["doc_id", "text", "hits", "items", *kept])
-                    continue
-                left = [cut(t, s, k, max_length, max_coverage) for t, s, k in zip(texts.to_pylist(), spans, n, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array(of, pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPAN), pa.array(left, pa.string()), *along],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans", "text", *kept],
-                )
-
-        return run
-
-    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), *(F.col(c).alias(k) for k, c in zip(kept, carry, strict=True)))
-    for k in range(len(shared)):
-        last = k == len(shared) - 1
-        out = out.mapInArrow(scan(k, last), (SCHEMA if last else "doc_id bigint, text string, hits array<int>, items array<string>") + more)
-    return out
+                    n[i] = len(ws)
+                    found, of = automaton.scan(ws)
+                    flat[i] += (x for span in found for x in span)
+                    items[i] |= of
+                if len(shared) > 1:
+                    del automaton, b._value  # it is read from the task's own copy of the broadcast when it is needed again
+            spans = [union(f) for f in flat]
+            left = [cut(t, s, k, max_length, max_coverage) for t, s, k in zip(texts, spans, n, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([sorted(i) for i in items], pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPAN), pa.array(left, pa.string()), *(batch.column(c) for c in kept)],
+                names=["doc_id", "n_words", "n_hit", "items", "spans", "text", *kept],
+            )
+
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for k, c in zip(kept, carry, strict=True)))
+    return own.mapInArrow(run, SCHEMA + more)
 
 
 def cut(text: str | None, spans: list[tuple[int, int]], n_words: int, max_length: int, max_coverage: float) -> str | None:

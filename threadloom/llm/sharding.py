@@ -41,6 +41,8 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     whole = sum(t for _, t in totals)
     ends = np.cumsum([t for _, t in totals], dtype=np.int64)
     before = {p: int(e - t) for (p, t), e in zip(totals, ends, strict=True)}
+    # a shard begins at the first row whose middle, doubled, reaches this
+    begins = np.array([-(-2 * whole * s // shards) for s in range(1, shards)], np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = None
@@ -51,9 +53,9 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
                 done = before[batch.column("part")[0].as_py()]
             size = batch.column("size").to_numpy()
             end = done + np.cumsum(size)
-            shard = [min(shards - 1, int(m) * shards // (2 * whole)) for m in (2 * end - size).tolist()]
+            shard = np.searchsorted(begins, 2 * end - size, side="right").astype(np.int32)
             done = int(end[-1])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*key, "part")), pa.array(shard, pa.int32())], names=[*key, "part", "shard"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*key, "part")), pa.array(shard)], names=[*key, "part", "shard"])
 
     placed = ordered.mapInArrow(place, "doc_id bigint, text_crc32 bigint, size bigint, part int, shard int")
     first: dict[tuple[int, int], int] = {}

@@ -2,8 +2,8 @@
 
 Fingerprints come from word shingles.  Equal ones are one node from the start, however many documents share it.  Two
 fingerprints that differ in 3 bits at most agree in one of four 16-bit blocks, so each is dealt to four keys; a key
-that too many share is dealt again by the four parts of its other bits.  Within a task the fingerprints of a key are
-sorted by Gray rank, which puts neighbours in Hamming space together; runs of 16 and of 256 become nodes that keep
+that too many share is dealt again by the four parts of its other bits, and so on until the bits run out, by when no
+key can have too many.  Within a task the fingerprints of a key are sorted by Gray rank, which puts neighbours in Hamming space together; runs of 16 and of 256 become nodes that keep
 the bits all their members share (the parent's bits are left out of the child's), and a query walks down adding up
 differences to such patterns, dropping whole runs once there are more than 3.  What a task finds leaves it as a
 forest, not as pairs; alternating star steps join the forests.
@@ -141,29 +141,56 @@ def links(nodes: DataFrame, within: int = 3) -> DataFrame:
     """A forest over distinct fingerprints ``fp`` for each task: columns a and b (b is the root)."""
     if within >= BLOCKS:
         raise ValueError(f"within: {BLOCKS - 1} at most, else no block need agree")
-    width = 64 // BLOCKS
-    blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << width) - 1).alias("value")) for i in range(BLOCKS)))
-    dealt = nodes.select("fp", F.explode(blocks).alias("k")).select("fp", (F.col("k.block") * (1 << width) + F.col("k.value")).alias("key"), F.col("k.block").alias("block"))
-    busy = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUSY).select("key", F.lit(True).alias("busy"))
-    part = (64 - width) // BLOCKS
-    # the other bits, closed up: those above the block, then those below it
-    above = F.expr(f"case when block = {BLOCKS - 1} then 0L else shiftleft(shiftrightunsigned(fp, (block + 1) * {width}), block * {width}) end")
-    rest = above.bitwiseOR(F.expr(f"fp & (shiftleft(1L, block * {width}) - 1)"))
-    finer = F.array(*(F.struct(F.lit(i).alias("part"), F.shiftrightunsigned("rest", i * part).bitwiseAND((1 << part) - 1).alias("value")) for i in range(BLOCKS)))
-    marked = dealt.join(busy, "key", "left").withColumn("rest", rest)
-    usual = marked.where("busy is null").select("fp", F.xxhash64("key", F.lit(-1), F.lit(0)).alias("key"))
-    again = marked.where("busy").select("fp", "key", F.explode(finer).alias("k")).select("fp", F.xxhash64("key", "k.part", "k.value").alias("key"))
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a key is a hash of all choices so far; ``rest`` are the bits that no choice has used, ``bits`` of them
+    open_ = nodes.select("fp", F.lit(0).cast("bigint").alias("key"), F.col("fp").alias("rest"))
+    bits, ready = 64, None
+    while True:
+        cuts = [bits * i // BLOCKS for i in range(BLOCKS + 1)]
+
+        def part(i: int):
+            a, b = cuts[i], cuts[i + 1]  # noqa: B023
+            value = F.shiftrightunsigned("rest", a).bitwiseAND((1 << b - a) - 1)
+            below, above = F.col("rest").bitwiseAND((1 << a) - 1), F.shiftleft(F.shiftrightunsigned("rest", b), a) if b < 64 else F.lit(0).cast("bigint")
+            return F.struct(F.xxhash64("key", F.lit(bits), F.lit(i), value).alias("key"), below.bitwiseOR(above).alias("rest"))  # noqa: B023
+
+        dealt = open_.select("fp", F.explode(F.array(*map(part, range(BLOCKS)))).alias("k")).select("fp", "k.key", "k.rest")
+        bits -= bits // BLOCKS  # what is left, at most
+        busy = checkpointed(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUSY).select("key"))
+        if bits <= 2 * BLOCKS or not busy.limit(1).count():
+            ready = dealt.select("fp", "key") if ready is None else ready.unionByName(dealt.select("fp", "key"))
+            break
+        usual = dealt.join(busy, "key", "left_anti").select("fp", "key")
+        ready = usual if ready is None else ready.unionByName(usual)
+        open_ = dealt.join(busy, "key", "left_semi").select("fp", "key", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if len(b)]
-        if got:
-            t = pa.Table.from_batches(got)
+        for t in whole_keys(batches):
             index = GrayIndex(t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64))
             a, b = forest(index.fp, index.pairs(within))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return usual.unionByName(again).repartition(tasks, "key").mapInArrow(run, "a bigint, b bigint")
+    return ready.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[pa.Table]:
+    """Rows in order of their keys as tables of ``least`` rows or a little more that end where a key does."""
+    some: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        if held >= least and len(batch):
+            key = batch.column("key").to_numpy()
+            own = int(np.searchsorted(key, some[-1].column("key")[-1].as_py(), side="right"))
+            some.append(batch.slice(0, own))
+            if own == len(batch):
+                held += own
+                continue
+            yield pa.Table.from_batches(some).combine_chunks()
+            some, held, batch = [], 0, batch.slice(own)
+        if len(batch):
+            some.append(batch)
+            held += len(batch)
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks()
 
 
 def components(edges: DataFrame) -> DataFrame:
