@@ -51,6 +51,18 @@ def test_codec_on_random_texts_and_ids():
     assert np.frombuffer(c.encode(word)[0], "<u4").tolist() == c.library.encode(word)
 
 
+def test_few_remembered_chunks(spark, monkeypatch):
+    from threadloom.llm import sentencepiece_bpe as B
+
+    monkeypatch.setattr(B, "KEPT", 3)
+    with open(MODEL, "rb") as f:
+        c = B.Codec(f.read())
+    for t in ["▁a ▁b ▁c ▁d ▁e ▁a ▁b", "\0 ▁ x", "a b c d e f g h"] * 3:
+        packed, decoded = c.encode(t)
+        ids = np.frombuffer(packed, "<u4").tolist()
+        assert ids == c.library.encode(t) and decoded == c.library.decode(ids)
+
+
 # sharding
 
 

@@ -144,8 +144,6 @@ class Codec:
                 self.odd[chunk] = out
             found = b"".join([self.packed[i] for i in ids])
         if len(self.new) >= KEPT:
-            if len(self.odd) >= KEPT:
-                self.odd, self.new = {}, {}
             self.old, self.new = self.new, {}
         self.new[chunk] = found
         return found
@@ -154,6 +152,8 @@ class Codec:
         """Packed ids of a document, without begin and end, and what they decode to."""
         if not text:
             return b"", ""
+        if len(self.odd) >= KEPT:  # between documents, as chunks of one may be looked up long before they are decoded
+            self.odd, self.old, self.new = {}, {}, {}
         marked = MARK + text.replace(" ", MARK)
         chunks = self.cut(marked)
         found = list(map(self.new.get, chunks))
@@ -202,7 +202,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """Encodes whole texts with begin and end ids and decodes them again.
 
     ``model_path`` is a vocabulary file that is installed on every executor.  With ``check`` each Arrow batch is
-    encoded by the library too, and a difference is an error that names the document.  Returns a row for each input
+    encoded and decoded by the library too, and a difference is an error that names the document.  Returns a row for each input
     row: doc_id, n_tokens (all ids), ids (packed as little-endian unsigned 32-bit integers, as token files hold them)
     and decoded.  Null and empty texts: begin and end only, decoded "".  Null ids stay null; other columns are not
     read; an empty table gives no rows.
@@ -218,9 +218,12 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 coded = [c.encode(t) for t in texts]
                 packed = [ends[:4] + x[0] + ends[4:] for x in coded]
                 if check:
-                    for doc, mine, his in zip(batch.column(0), packed, c.library.encode(texts, add_bos=True, add_eos=True, num_threads=1), strict=True):
-                        if np.array(his, "<u4").tobytes() != mine:
+                    his = c.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+                    for doc, mine, ids, (_, own), text in zip(batch.column(0), packed, his, coded, c.library.decode(his, num_threads=1), strict=True):
+                        if np.array(ids, "<u4").tobytes() != mine:
                             raise ValueError(f"document {doc.as_py()}: the ids differ from the library's")
+                        if text != own:
+                            raise ValueError(f"document {doc.as_py()}: the decoded text differs from the library's")
                 n = pa.array([len(p) // 4 for p in packed], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(packed, pa.binary()), pa.array([x[1] for x in coded], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
