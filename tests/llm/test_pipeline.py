@@ -43,6 +43,14 @@ def test_stage_by_stage(spark, folder, tmp_path):
     assert P.run(spark, folder).count() == len(kept["sentencepiece"])
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    words = lambda n: " ".join(f"w{n}{k}" for k in range(30))
+    rows = [(7, words(1)), (7, words(2)), (7, words(2)), (7, words(2).upper()), (9, words(2)), (9, words(3)), (5, words(3)), (None, words(3)), (6, None), (6, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, (r.text or "").lower()) for r in P.simhash(spark, df, "").collect()]
+    assert sorted(got, key=repr) == sorted([(7, words(1)), (7, words(2)), (5, words(3)), (None, words(3)), (6, "")], key=repr)
+
+
 def test_empty_tables(spark, tmp_path, folder):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")

@@ -119,9 +119,10 @@ def fan(who: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarr
 
 
 def forest(fps: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each fingerprint that has partners to the root of its component, found batch by batch."""
+    """Pairs enough to connect all that the pairs connect: less than one for each fingerprint, found batch by batch."""
     nodes, slot = np.unique(fps, return_inverse=True)
     root = np.arange(len(nodes))
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
     for i, j in pairs:
         a, b = slot[i], slot[j]
         while True:
@@ -130,15 +131,20 @@ def forest(fps: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> t
             if not apart.any():
                 break
             a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+            np.minimum.at(root, high, low)
+            hooked = np.nonzero(root[high] == low)[0]  # one of these pairs for each root that was hooked
+            hooked = hooked[np.unique(high[hooked], return_index=True)[1]]
+            kept.append((a[hooked], b[hooked]))
             while (up := root[root]).tobytes() != root.tobytes():
                 root = up
-    far = np.nonzero(root != np.arange(len(nodes)))[0]
-    return nodes[far], nodes[root[far]]
+    none = np.zeros(0, np.int64)
+    a, b = (np.concatenate([none, *(k[x] for k in kept)]) for x in (0, 1))
+    return nodes[a], nodes[b]
 
 
 def links(nodes: DataFrame, within: int = 3) -> DataFrame:
-    """A forest over distinct fingerprints ``fp`` for each task: columns a and b (b is the root)."""
+    """A forest over distinct fingerprints ``fp`` for each table of a task: columns a and b, which are near pairs."""
     if within >= BLOCKS:
         raise ValueError(f"within: {BLOCKS - 1} at most, else no block need agree")
     # a key is a hash of all choices so far; ``rest`` are the bits that no choice has used, ``bits`` of them
