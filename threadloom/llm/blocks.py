@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 PACKED = "g bigint, payload binary"
 LISTS = "b bigint, g bigint, keys binary"
 ANSWERS = "g bigint, b bigint, bits binary"
-AT_ONCE = 1 << 22  # keys of a bucket that are sorted together
+AT_ONCE = 1 << 20  # keys of a bucket that are sorted together
 
 
 class Layout:
@@ -154,6 +154,11 @@ class Keys:
         return s.take(s.news())
 
 
+def second(more: int) -> type:
+    """The smallest type for so many bytes of a second hash."""
+    return next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize >= more)
+
+
 def joined(parts: list[Keys]) -> Keys:
     return Keys(np.concatenate([p.h for p in parts]), None if parts[0].x is None else np.concatenate([p.x for p in parts]))
 
@@ -162,7 +167,7 @@ def encode(keys: Keys, more: int) -> bytes:
     """Sorted keys as compressed byte planes: differences of the first hashes, ``more`` bytes of the second ones."""
     planes = [np.diff(keys.h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T]
     if more:
-        planes.append(keys.x.view(np.uint8).reshape(-1, 8)[:, :more].T)
+        planes.append(keys.x.view(np.uint8).reshape(len(keys), -1)[:, :more].T)
     return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
 
 
@@ -171,9 +176,9 @@ def decode(blob: bytes, more: int) -> Keys:
     h = np.cumsum(np.ascontiguousarray(raw[:8].T).view(np.uint64).ravel(), dtype=np.uint64)
     if not more:
         return Keys(h)
-    x = np.zeros((len(h), 8), np.uint8)
+    x = np.zeros((len(h), np.dtype(second(more)).itemsize), np.uint8)
     x[:, :more] = raw[8:].T
-    return Keys(h, x.view(np.uint64).ravel())
+    return Keys(h, x.view(second(more)).ravel())
 
 
 def lists(g: int, keys: Keys, bounds: np.ndarray, more: int = 0) -> pa.Table:

@@ -45,11 +45,12 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def in_parts(hashes: Callable, units: np.ndarray, at: np.ndarray, n: int, lane: int = 0, part: int = 1 << 19) -> np.ndarray:
-    """``hashes`` of many positions without arrays as long as these on the way."""
-    out = np.empty(len(at), np.uint64)
+def in_parts(hashes: Callable, units: np.ndarray, at: np.ndarray, n: int, more: int = 0, part: int = 1 << 19) -> np.ndarray:
+    """``hashes`` of many positions without arrays as long as these on the way; ``more``: so many bytes of the second."""
+    out = np.empty(len(at), B.second(more) if more else np.uint64)
     for i in range(0, len(at), part):
-        out[i : i + part] = hashes(units, at[i : i + part], n, lane)
+        h = hashes(units, at[i : i + part], n, int(more > 0))
+        out[i : i + part] = h & np.uint64((1 << 8 * more) - 1) if more else h
     return out
 
 
@@ -186,7 +187,7 @@ class Work:
         h = in_parts(s.hashes, self.units, p, s.window)
         if not self.more:
             return p, B.Keys(h)
-        return p, B.Keys(h, in_parts(s.hashes, self.units, p, s.window, 1) & np.uint64((1 << 8 * self.more) - 1))
+        return p, B.Keys(h, in_parts(s.hashes, self.units, p, s.window, self.more))
 
     def removed(self, answers: pa.Table, windows: tuple, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of units to remove: which document, from, to (within the block's units)."""
