@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from exports import expected_branch, walk
 from threadloom.operators import graph as G
+from threadloom.operators.ordered import numbered
 from threadloom.operators.stats import graph_stats
 
 NODES = "conv_id string, node_id string, parent string, has_message boolean"
@@ -112,6 +113,52 @@ def test_longest_path_everywhere(spark):
         G.active_branch(*tables(spark, graphs), strategy="guess")
 
 
+def test_deep_chains_and_large_cycles(spark):
+    """A chain of 100,000 nodes and a cycle of 10,000 with a tail of 50: rounds, not nodes, make the plan."""
+    at = F.col("id")
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    chain = spark.range(100_000).select(F.lit("chain").alias("conv_id"), name(at).alias("node_id"), F.when(at > 0, name(at - 1)).alias("parent"), (at % 2 == 0).alias("has_message"))
+    cycle = spark.range(10_050).select(F.lit("cycle").alias("conv_id"), name(at).alias("node_id"), name(F.when(at < 10_000, (at + 1) % 10_000).otherwise(at - 1)).alias("parent"), F.lit(True).alias("has_message"))
+    nodes = chain.unionByName(cycle)
+    walker = G.Chains(nodes)
+    assert walker.tables[-1]._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    chains = walker.nodes()
+    assert chains._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 6
+    got = {r.node_id: tuple(r)[3:] for r in chains.where("conv_id = 'chain' and node_id in ('n0', 'n7', 'n99999')").collect()}
+    assert got == {"n0": (1, 1, True), "n7": (8, 4, True), "n99999": (100_000, 50_000, True)}
+    lengths = chains.where("conv_id = 'cycle'").groupBy("length", "grounded").count().collect()
+    assert sorted(map(tuple, lengths)) == [(10_000, False, 10_000), *((10_000 + k, False, 1) for k in range(1, 51))]
+    conversations = spark.createDataFrame([("chain", "n99999"), ("cycle", "n5")], "conv_id string, current_node string")
+    branches = G.active_branch(conversations, nodes)
+    assert branches.path.groupBy("conv_id").agg(F.count("*"), F.count_distinct("node_id"), F.max("pos")).orderBy("conv_id").collect() == [("chain", 100_000, 100_000, 99_999), ("cycle", 10_000, 10_000, 9_999)]
+    assert branches.meta.where("conv_id = 'cycle'").first().warnings == ["parent chain loops back to node `n5`; stopped the walk there"]
+
+
+@pytest.mark.parametrize("one_task", [10**9, 10])
+def test_numbers_and_totals_in_groups_of_any_size(spark, one_task):
+    r = random.Random(3)
+    rows = [("hot" if k % 3 else f"g{k % 40}", k, r.choice([None, *range(5)]), r.randrange(9)) for k in range(600)]
+    df = spark.createDataFrame(rows, "g string, id int, o int, v int").repartition(5)
+    got = numbered(df, ["g"], [F.col("o").asc_nulls_last(), F.col("id").desc()], one_task=one_task, total=F.col("v"))
+    want, groups = [], {}
+    for g, k, o, v in sorted(rows, key=lambda x: (x[0], x[2] is None, x[2] or 0, -x[1])):
+        rn, total = groups.get(g, (0, 0))
+        groups[g] = (rn + 1, total + v)
+        want.append((g, k, rn + 1, total + v))
+    assert sorted((x.g, x.id, x.rn, x.total) for x in got.collect()) == sorted(want)
+    assert all(x.n == groups[x.g][0] for x in got.collect())
+
+
+def test_a_strategy_of_ones_own(spark):
+    class First(G.LongestPath):
+        def fallback(self, chains):
+            return chains.groupBy("conv_id").agg(F.min_by(F.struct("node_id", "length", "messages"), "node_id").alias("b")).select("conv_id", "b.*")
+
+    graphs = {"c": ({"a": None, "b": "a", "d": "b"}, dict.fromkeys("abd", True), None)}
+    branches = G.active_branch(*tables(spark, graphs), strategy=First(name="first"))
+    assert [r.node_id for r in branches.path.collect()] == ["a"] and branches.meta.first().strategy == "first"
+
+
 def test_roots_children_and_listing(spark):
     graphs = {"c": ({"a": None, "b": "a", "d": "a", "e": "gone"}, dict.fromkeys("abde", True), "d")}
     conversations, nodes = tables(spark, graphs)

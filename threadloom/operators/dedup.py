@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def dedup_latest(rows: DataFrame, key: list[str], fresh: str, order: list[str]) -> DataFrame:
     """Of each key the row with the largest ``fresh`` (null is least; ``order`` decides ties), with ``pos``: the first
-    place of the key in ``order``.  Rows of a key are brought together once, for both."""
-    same = Window.partitionBy(*key)
-    best = same.orderBy(F.coalesce(F.col(fresh).cast("double"), F.lit(float("-inf"))).desc(), *order)
-    return rows.withColumn("pos", F.min(F.struct(*order)).over(same)).withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
+    place of the key in ``order``, which tells all rows apart and holds no nulls.
+
+    Winners are picked among keys and places, with partial results before the shuffle; whole rows only meet them.
+    """
+    age = -F.coalesce(F.col(fresh).cast("double"), F.lit(float("-inf")))
+    best = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("pos"), F.min(F.struct(age.alias("age"), *order)).alias("best"))
+    winners = best.select("pos", *(F.col(f"best.{c}").alias(c) for c in order))
+    return rows.join(winners, order)

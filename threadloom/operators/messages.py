@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators.graph import Branches
-from threadloom.operators.stats import branch_messages
+from threadloom.operators.graph import KEY, Branches
+from threadloom.operators.ordered import numbered
 
 
 @dataclass(frozen=True)
@@ -32,21 +32,24 @@ def is_included(o: Options):
 
 
 def visible_messages(nodes: DataFrame, branches: Branches, options: Options = Options()) -> DataFrame:
-    """Shown messages of each branch with idx (from 0), n (how many) and size (clusters of plain text)."""
-    shown = branch_messages(nodes, branches).where(is_included(options))
-    w = Window.partitionBy("conv_id")
-    return shown.withColumn("idx", F.row_number().over(w.orderBy("pos")) - 1).withColumn("n", F.count("*").over(w)).withColumn("size", T.grapheme_count(F.col("plain_text")))
+    """Shown messages of each branch with idx (from 0), n (how many) and size (clusters of plain text).  Places are
+    counted on keys; texts travel once, to meet them."""
+    shown = nodes.where("has_message").where(is_included(options))
+    keys = numbered(shown.select(*KEY).join(branches.path, KEY), ["conv_id"], [F.col("pos").asc()])
+    places = keys.select(*KEY, "pos", (F.col("rn") - 1).alias("idx"), "n")
+    return shown.join(places, KEY).withColumn("size", T.grapheme_count(F.col("plain_text")))
 
 
 def tail(visible: DataFrame, max_messages: int = 30, max_chars: int | None = None) -> DataFrame:
     """The last messages up to either limit; the very last one always stays unless ``max_messages`` is 0."""
-    back = Window.partitionBy("conv_id").orderBy(F.desc("idx"))
-    total = F.sum("size").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rn = F.col("n") - F.col("idx")
-    keep = rn <= max_messages
-    if max_chars is not None:
-        keep = keep & ((rn == 1) | (F.col("total") <= max_chars))
-    return visible.withColumn("total", total).where(keep).drop("total")
+    back = F.col("n") - F.col("idx")
+    last = visible.where(back <= max_messages)
+    if max_chars is None:
+        return last
+    # of a group no more than max_messages rows are left here, so a window over keys is small
+    w = Window.partitionBy("conv_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = last.select("conv_id", "idx", "n", F.sum("size").over(w).alias("total")).where((back == 1) | (F.col("total") <= max_chars))
+    return last.join(keys.select("conv_id", "idx"), ["conv_id", "idx"], "left_semi")
 
 
 def recent_selection(visible: DataFrame, max_messages: int = 30, max_chars: int | None = None) -> DataFrame:
