@@ -69,3 +69,18 @@ def test_headings_and_titles(run):
 
 def test_fences(run):
     assert run(lambda s: C.fenced(F.lit("py thon"), s), "x = 1\n", "a ``` b", "") == ["```py\nx = 1\n```", "````py\na ``` b\n````", "```py\n\n```"]
+
+
+def test_times_in_utc_and_in_the_zone_of_the_session(spark):
+    df = spark.createDataFrame([(1757071924.9,), (-86401.0,)], "t double")
+    both = lambda: [tuple(r) for r in df.select(T.format_time(F.col("t")), T.format_time(F.col("t"), short=True)).collect()]
+    try:
+        for zone, local in (("UTC", "2025-09-05T11:32:04Z"), ("Asia/Tokyo", "2025-09-05T20:32:04+09:00"), ("America/New_York", "2025-09-05T07:32:04-04:00")):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert both() == [("2025-09-05T11:32:04Z", "2025-09-05 11:32"), ("1969-12-30T23:59:59Z", "1969-12-30 23:59")]
+            token = T.LOCAL_TIMES.set(True)
+            shown = both()[0]
+            T.LOCAL_TIMES.reset(token)
+            assert shown == (local.replace("Z", "+00:00"), local[:10] + " " + local[11:16])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -27,7 +27,6 @@ from threadloom.session import checkpointed
 from threadloom.sources.export import MAX_UNPACKED, ExportSet, raw_conversation, read_export
 from threadloom.sources.sink import Writer, write_atomic
 
-SHORT = "yyyy-MM-dd HH:mm"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -122,7 +121,7 @@ def run_list(found: ExportSet, args: argparse.Namespace) -> None:
         picked = rows.select(F.col("conv_id").alias("id"), "title", T.format_time(F.col("create_time")).alias("created_at"), T.format_time(F.col("update_time")).alias("updated_at"), "total_nodes")
         print_json({"source": found.source, "conversations": [r.asDict() for r in picked.collect()]})
         return
-    lines = rows.select(F.format_string("%-36s  %-16s  %s", C.display_id(F.col("conv_id")), T.format_time(F.col("update_time"), SHORT), C.display_title(F.col("title"))).alias("line")).collect()
+    lines = rows.select(F.format_string("%-36s  %-16s  %s", C.display_id(F.col("conv_id")), T.format_time(F.col("update_time"), short=True), C.display_title(F.col("title"))).alias("line")).collect()
     if not lines:
         print(f"No conversations found in {found.source}.")
         return
@@ -229,8 +228,7 @@ def run_inspect(one: One, args: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("threadloom").getOrCreate()
-    if not args.local_time:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    T.LOCAL_TIMES.set(args.local_time)
     spark.sparkContext.setLogLevel({0: "ERROR", 1: "INFO"}.get(args.verbose, "DEBUG"))
     try:
         found = read_export(spark, args.input, args.max_unpacked_bytes)

@@ -1,4 +1,4 @@
-"""What can go wrong, with the wording that users see."""
+"""What can go wrong.  The wording is fixed: users and their scripts see it."""
 
 from __future__ import annotations
 

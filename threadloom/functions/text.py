@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,10 +102,25 @@ def sanitize_filename(s: Column) -> Column:
     return F.when(kept == "", F.lit("untitled")).otherwise(truncate_graphemes(kept, 120))
 
 
-def format_time(t: Column, pattern: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> Column:
-    """Seconds since 1970 in the session's zone (set it to UTC); - for what is no time."""
+#: Are times shown in the session's zone?  Set while columns are built.
+LOCAL_TIMES: ContextVar[bool] = ContextVar("local times", default=False)
+
+
+def format_time(t: Column, short: bool = False) -> Column:
+    """Seconds since 1970 as RFC 3339, or to the minute; - for what is no time.
+
+    In UTC, computed without the session's zone; in that zone, with its offset, where ``LOCAL_TIMES`` is set.
+    """
     whole = F.when(F.abs(t) < 8.2e12, t.cast("bigint"))
-    return F.coalesce(F.when(whole.between(-62135596800, 253402300799), F.date_format(F.timestamp_seconds(whole), pattern)), F.lit("-"))
+    if LOCAL_TIMES.get():
+        shown = F.date_format(F.timestamp_seconds(whole), "yyyy-MM-dd HH:mm" if short else "yyyy-MM-dd'T'HH:mm:ssxxx")
+    else:
+        day, second = F.floor(whole / 86400).cast("int"), F.pmod(whole, F.lit(86400))
+        two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+        clock = [two(second / 3600), F.lit(":"), two(second % 3600 / 60)]
+        date = F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string")
+        shown = F.concat(date, F.lit(" "), *clock) if short else F.concat(date, F.lit("T"), *clock, F.lit(":"), two(second % 60), F.lit("Z"))
+    return F.coalesce(F.when(whole.between(-62135596800, 253402300799), shown), F.lit("-"))
 
 
 def sampled(n: Column, cap: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom import errors as E
 from threadloom.functions import content as C
 from threadloom.functions import text as T
-from threadloom.operators.search import scorer
+from threadloom.operators.search import might_match, scorer
 
 PREFIX_LEAST, FUZZY_LEAST, CONFIDENT, LEAD, EXACT, SHOWN = 8, 50, 85, 20, 100, 10
 TIERS = ("exact id", "id prefix", "exact title", "title ignoring case", "fuzzy title")
@@ -47,24 +47,21 @@ def quoted(s: str) -> str:
 def candidates(conversations: DataFrame, selector: Selector) -> DataFrame:
     """Conversations of the first tier with a hit: conv_id, title (as shown), tier, score, place and unique.
 
-    One pass gives each conversation its own best tier, so no tier needs a job of its own.
+    The plain tiers take one pass; titles are scored only where these have no hit, and only those that hold the needle.
     """
     by_id, by_title = selector.lanes()
     shown = C.display_title(F.col("title"))
-    tier, score = F.lit(None).cast("int"), F.lit(EXACT)
-    if by_title:
-        fuzzy = scorer(by_title)(F.col("shown"))
-        score = F.when(F.col("exact").isNull(), F.col("fuzzy")).otherwise(EXACT)
     exact = F.lit(None).cast("int")
     if by_title:
         low = by_title.lower()
         exact = F.when((F.col("title") == by_title) | (F.col("shown") == by_title), 2).when((F.lower("title") == low) | (F.lower("shown") == low), 3)
     if by_id:
         exact = F.when(F.col("conv_id") == by_id, 0).when(F.lit(len(by_id) >= PREFIX_LEAST) & F.startswith(F.col("conv_id"), F.lit(by_id)), 1).otherwise(exact)
-    rows = conversations.select("conv_id", "title", "update_time", shown.alias("shown")).withColumn("exact", exact)
-    rows = rows.withColumn("fuzzy", fuzzy if by_title else F.lit(None).cast("int"))
-    tier = F.coalesce("exact", F.when(F.col("fuzzy") >= FUZZY_LEAST, 4))
-    hits = rows.withColumn("tier", tier).withColumn("score", score).where("tier is not null")
+    rows = conversations.select("conv_id", "title", "update_time", shown.alias("shown")).withColumn("tier", exact)
+    hits = rows.where("tier is not null").withColumn("score", F.lit(EXACT))
+    if by_title and not hits.limit(1).count():
+        scored = rows.where(might_match(F.col("shown"), by_title)).withColumn("score", scorer(by_title)(F.col("shown")))
+        hits = scored.where(F.col("score") >= FUZZY_LEAST).withColumn("tier", F.lit(len(TIERS) - 1))
     first = hits.agg(F.min("tier").alias("tier"), F.count("*").alias("all_hits"))
     hits = hits.join(F.broadcast(first.select("tier")), "tier", "left_semi")  # one row
     order = [F.desc("score"), F.coalesce("update_time", F.lit(float("-inf"))).desc(), F.col("conv_id")]

@@ -193,26 +193,37 @@ def is_version(token: Column) -> Column:
     return token.rlike(r"^[vV]?[0-9][0-9.]*[0-9]$") & token.rlike(r"[0-9]\.+[0-9]")
 
 
+#: Every path, link and version has one of these; most tokens have none.
+MARK = r"/|\.[\p{L}\p{N}]"
+
+
 def technical_items(visible: DataFrame) -> DataFrame:
-    """conv_id, category (place in TECHNICAL_LABELS), order and text of languages, paths, commands, links, versions."""
+    """conv_id, category (place in TECHNICAL_LABELS), order and text of languages, paths, commands, links, versions.
+
+    Lines are cut once; each gives what may be an item (the word behind a fence, a command, tokens with a mark) as rows.
+    """
     order = ["idx", "line_no", "token_no"]
     code = visible.where("kind = 'code' and language is not null").select("conv_id", F.lit(0).alias("category"), "idx", F.lit(-1).alias("line_no"), F.lit(0).alias("token_no"), T.clean(F.col("language")).alias("text"))
-    lines = visible.select("conv_id", "idx", F.posexplode(T.lines(F.col("plain_text"))).alias("line_no", "line")).withColumn("line", T.trim(F.col("line"))).where("line != ''")
+    lines = visible.select("conv_id", "idx", F.posexplode(T.lines(F.col("plain_text"))).alias("line_no", "line"))
+    heads = "|".join(X.COMMAND_HEADS)
+    lines = lines.where(F.col("line").rlike(rf"{MARK}|```|(?:^|{T.SPACE})(?:\$ )?(?:{heads})(?:{T.SPACE}|$)")).withColumn("line", T.trim(F.col("line")))
     fence = F.startswith("line", F.lit("```"))
-    info = T.trim(F.substring("line", 4, 1_000_000))
-    fences = lines.where(fence).withColumn("info", info).where((F.col("info") != "") & (T.grapheme_count(F.col("info")) <= LANGUAGE_GRAPHEMES))
-    fences = fences.select("conv_id", F.lit(0).alias("category"), "idx", "line_no", F.lit(0).alias("token_no"), T.clean(F.col("info")).alias("text"))
-    rest = lines.where(~fence)
+    row = lambda what, no, raw: F.struct(F.lit(what).alias("what"), no.alias("token_no"), raw.alias("raw"))
     body = T.trim(F.regexp_replace("line", r"^\$ ", ""))
-    tokens = F.split(body, f"{T.SPACE}+")
-    shell = F.array_contains(F.array(*map(F.lit, X.COMMAND_HEADS)), tokens[0]) & (F.size(tokens) >= 2) & ~F.endswith(body, F.lit("."))
-    commands = rest.where(shell).select("conv_id", F.lit(2).alias("category"), "idx", "line_no", F.lit(0).alias("token_no"), T.truncate_graphemes(T.clean(body), DIGEST_CHARS).alias("text"))
-    t = rest.select("conv_id", "idx", "line_no", F.posexplode(F.split("line", f"{T.SPACE}+")).alias("token_no", "token")).withColumn("token", T.trim_token(F.col("token"))).where("token != ''")
-    token = F.col("token")
-    kind = F.when(token.rlike("^https?://"), 3).when(is_path(token), 1).when(is_version(token), 4)
-    text = F.when(F.col("category") == 3, T.truncate_graphemes(T.clean(token), DIGEST_CHARS)).otherwise(T.clean(token))
-    marked = t.withColumn("category", kind).where("category is not null").select("conv_id", "category", *order, text.alias("text"))
-    return reduce(DataFrame.unionByName, [code, fences, commands, marked]).withColumn("key", T.fold(F.col("text")))
+    words = F.split(body, f"{T.SPACE}+")
+    shell = F.array_contains(F.array(*map(F.lit, X.COMMAND_HEADS)), words[0]) & (F.size(words) >= 2) & ~F.endswith(body, F.lit("."))
+    none = F.array().cast("array<struct<what: int, token_no: int, raw: string>>")
+    marked = F.filter(F.transform(F.split("line", f"{T.SPACE}+"), lambda t, i: row(1, i, t)), lambda x: x["raw"].rlike(MARK))
+    found = F.when(fence, F.array(row(0, F.lit(0), T.trim(F.substring("line", 4, 1_000_000))))).otherwise(F.concat(F.when(shell, F.array(row(2, F.lit(0), body))).otherwise(none), F.when(F.col("line").rlike(MARK), marked).otherwise(none)))
+    rows = lines.select("conv_id", "idx", "line_no", F.explode(found).alias("x")).select("conv_id", "idx", "line_no", "x.*")
+    token = T.trim_token(F.col("raw"))
+    rows = rows.withColumn("own", F.when(F.col("what") == 1, token).otherwise(F.col("raw"))).where("own != ''")
+    own, what = F.col("own"), F.col("what")
+    info = F.when(T.grapheme_count(own) <= LANGUAGE_GRAPHEMES, 0)
+    kind = F.when(what == 0, info).when(what == 2, 2).when(own.rlike("^https?://"), 3).when(is_path(own), 1).when(is_version(own), 4)
+    text = F.when(F.col("category").isin(2, 3), T.truncate_graphemes(T.clean(own), DIGEST_CHARS)).otherwise(T.clean(own))
+    rest = rows.withColumn("category", kind).where("category is not null").select("conv_id", "category", *order, text.alias("text"))
+    return code.unionByName(rest).withColumn("key", T.fold(F.col("text")))
 
 
 def technical(visible: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def filenames(spark, sf_dir):
 @query
 def time_formats(spark, sf_dir):
     c = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return table(spark, sf_dir, "events").select("event_id", T.format_time(c).alias("full"), T.format_time(c, "yyyy-MM-dd HH:mm").alias("short"))
+    return table(spark, sf_dir, "events").select("event_id", T.format_time(c).alias("full"), T.format_time(c, short=True).alias("short"))
 
 
 @query

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from threadloom.errors import BY_CODE, ExportError
+from threadloom.errors import BY_CODE, ExportError, InputTooLarge, ReadFailed
 from threadloom.functions import content as C
 from threadloom.operators.dedup import dedup_latest
 from threadloom.session import checkpointed
-from threadloom.sources.parse import file_rows
+from threadloom.sources.parse import file_rows, is_zip
 
 MAX_UNPACKED = 512 << 20
 PART = "struct<kind: string, text: string, name: string>"
@@ -27,13 +30,55 @@ SCANNED = f"path string, entry string, entry_no int, idx int, origin string, raw
 
 @dataclass
 class ExportSet:
-    """conversations (with pos, their order), nodes, warnings (ord, warning), scanned rows, and a label."""
+    """conversations (with pos, their order), nodes, warnings (ord, warning) and scanned rows."""
 
     conversations: DataFrame
     nodes: DataFrame
     warnings: DataFrame
     scanned: DataFrame
-    source: str
+
+    @property
+    def source(self) -> str:
+        """A label of what was read, made when it is asked for."""
+        return source_label(self.scanned)
+
+
+class Source(Protocol):
+    """Where files come from: path, length and content of each, of which only those asked for are read."""
+
+    def files(self, spark: SparkSession) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class Paths:
+    """Files of any file system that Spark reads, by path, folder or pattern."""
+
+    paths: tuple[str, ...]
+
+    def files(self, spark: SparkSession) -> DataFrame:
+        try:
+            return spark.read.format("binaryFile").load(list(self.paths))
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "DATA_SOURCE_NOT_FOUND"):
+                raise
+            raise ReadFailed(", ".join(self.paths)) from None
+
+
+def too_large(files: DataFrame, limit: int) -> list[str]:
+    """Paths of files over the limit that aren't archives (their entries are measured one by one).  Only lengths are
+    listed, and the first bytes read of what is too long."""
+    spark = files.sparkSession
+    out = []
+    for row in files.where(F.col("length") > limit).select("path", "length").orderBy("path").collect():
+        path = spark._jvm.org.apache.hadoop.fs.Path(row.path)
+        stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+        try:
+            start = bytes(max(0, stream.read()) for _ in range(4))
+        finally:
+            stream.close()
+        if not is_zip(start):
+            out.append((row.path, row.length))
+    return out
 
 
 def scan(files: DataFrame, max_unpacked_bytes: int = MAX_UNPACKED) -> DataFrame:
@@ -55,10 +100,14 @@ def scan(files: DataFrame, max_unpacked_bytes: int = MAX_UNPACKED) -> DataFrame:
                     some = [{"path": path, "entry_no": 0, "idx": -1, "origin": path, "error": {"code": type(e).__name__, "message": str(e)}}]
                 yield pa.RecordBatch.from_pylist(some, schema=schema)
 
-    local = F.regexp_replace("path", "^file:/+", "/")
+    local = F.regexp_replace("path", "^file:/+", "/")  # as local_path
     return files.select(local.alias("path"), "content").mapInArrow(run, SCANNED)
 
 
+def local_path(path: str) -> str:
+    return re.sub("^file:/+", "/", path)
+
+
 def as_error(code: str, message: str) -> ExportError:
     kind = BY_CODE.get(code, ExportError)
     e = kind.__new__(kind)
@@ -66,14 +115,25 @@ def as_error(code: str, message: str) -> ExportError:
     return e
 
 
-def read_export(spark: SparkSession, path: str | list[str], max_unpacked_bytes: int = MAX_UNPACKED, on_error: str = "raise") -> ExportSet:
+def read_export(spark: SparkSession, path: str | list[str] | Source, max_unpacked_bytes: int = MAX_UNPACKED, on_error: str = "raise") -> ExportSet:
     """Reads JSON or ZIP exports, told apart by their first bytes.
 
-    Several files make one set.  ``on_error``: raise the first error of a file, or keep what could be read (errors stay
+    ``path``: one or several, or a source of one's own.  Several files make one set.  ``on_error``: raise the first error of a file, or keep what could be read (errors stay
     in ``scanned``).
     """
-    files = spark.read.format("binaryFile").load(path)
-    scanned = checkpointed(scan(files, max_unpacked_bytes))
+    source = Paths((path,) if isinstance(path, str) else tuple(path)) if isinstance(path, str | list | tuple) else path
+    files = source.files(spark)
+    large = too_large(files, max_unpacked_bytes)
+    scanned = scan(files.where(~F.col("path").isin([p for p, _ in large])) if large else files, max_unpacked_bytes)
+    if large:
+        failed = [{"path": local_path(p), "entry_no": 0, "idx": -1, "origin": local_path(p), "error": {"code": "InputTooLarge", "message": str(InputTooLarge(local_path(p), n, max_unpacked_bytes))}} for p, n in large]
+        scanned = scanned.unionByName(spark.createDataFrame(failed, scanned.schema))
+    try:
+        scanned = checkpointed(scanned)
+    except Exception as e:  # files that went or can't be opened; anything else keeps its own face
+        if "FAILED_READ_FILE" not in str(e) and "FileNotFoundException" not in str(e) and "AccessControlException" not in str(e):
+            raise
+        raise ReadFailed(", ".join(source.paths) if isinstance(source, Paths) else str(source)) from e
     if on_error == "raise":
         bad = scanned.where("error is not null").orderBy("path").select("error.code", "error.message").limit(1).collect()
         if bad:
@@ -88,7 +148,7 @@ def assemble(scanned: DataFrame) -> ExportSet:
     kept = dedup_latest(read, ["conv_id"], "update_time", order)
     conversations = kept.select("conv_id", "title", "create_time", "update_time", "current_node", "pos")
     nodes = kept.select("conv_id", F.explode("nodes").alias("n")).select("conv_id", "n.node_id", "n.parent", "n.children", "n.message")
-    return ExportSet(conversations, C.flat_nodes(nodes), load_warnings(scanned, read), scanned, source_label(scanned))
+    return ExportSet(conversations, C.flat_nodes(nodes), load_warnings(scanned, read), scanned)
 
 
 def counted(n, one: str, many: str):
@@ -113,9 +173,10 @@ def load_warnings(scanned: DataFrame, read: DataFrame) -> DataFrame:
 
 
 def source_label(scanned: DataFrame) -> str:
-    """path, path!entry, or path!N files; several paths are joined by commas (the driver holds a row for each file)."""
-    rows = scanned.where("idx = -1").groupBy("path").agg(F.count("entry").alias("n"), F.max("origin").alias("origin")).orderBy("path").collect()
-    return ", ".join(r.path if r.n == 0 else r.origin if r.n == 1 else f"{r.path}!{r.n} files" for r in rows)
+    """path, path!entry, or path!N files; several paths are joined by commas."""
+    rows = scanned.where("idx = -1").groupBy("path").agg(F.count("entry").alias("n"), F.max("origin").alias("origin"))
+    label = F.when(F.col("n") == 0, F.col("path")).when(F.col("n") == 1, F.col("origin")).otherwise(F.concat("path", F.lit("!"), F.col("n").cast("string"), F.lit(" files")))
+    return rows.agg(F.array_join(F.array_sort(F.collect_list(F.struct("path", label.alias("label"))))["label"], ", ")).first()[0] or ""
 
 
 def raw_conversation(scanned: DataFrame, conv_id: str) -> str | None:
