@@ -19,7 +19,8 @@ from threadloom.plans import packages as P
 from threadloom.plans import sections as D
 from threadloom.plans.transcript import transcripts
 from threadloom.session import checkpointed
-from threadloom.sources.tables import damaged, linear
+from threadloom.sources.export import assemble, scan
+from threadloom.sources.tables import PLANTED, damaged, deep, export_files, linear, planted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 OPTIONS = Options(include_system=True)
@@ -39,10 +40,9 @@ def graphs(spark: SparkSession, sf_dir: str, view=damaged) -> tuple[DataFrame, D
 
 
 def shown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """conversations and shown messages of the linear view, whose branch needs no walk: every node is on it."""
-    conversations, nodes = graphs(spark, sf_dir, linear)
-    path = nodes.select("conv_id", "node_id", F.col("node_id").cast("bigint").alias("pos"))
-    return conversations, visible_messages(nodes, G.Branches(None, path, None), OPTIONS)
+    """conversations and shown messages of the view with planted sentences and hidden, tool and code messages."""
+    conversations, nodes = graphs(spark, sf_dir, planted)
+    return conversations, visible_messages(nodes, G.active_branch(conversations, nodes), OPTIONS)
 
 
 @query
@@ -79,6 +79,25 @@ def parent_chains(spark, sf_dir):
     return G.Chains(graphs(spark, sf_dir)[1]).nodes().select("conv_id", "node_id", "length", "messages", "grounded")
 
 
+@query
+def deep_chains(spark, sf_dir):
+    return G.Chains(deep(table(spark, sf_dir, "events"))).nodes().select("conv_id", "node_id", "length", "messages", "grounded")
+
+
+@query
+def export_scan(spark, sf_dir):
+    """Exports are made of the conversations, read as files are, merged, and counted."""
+    found = assemble(checkpointed(scan(export_files(table(spark, sf_dir, "conversations")))))
+    n = found.nodes.groupBy("conv_id").agg(F.count("*").alias("nodes"), F.sum(T.grapheme_count(F.col("plain_text"))).cast("bigint").alias("characters"), F.count_if(F.col("parent").isNull()).alias("without_parent"), F.max("role").alias("last_role"))
+    return found.conversations.join(n, "conv_id").select("conv_id", "title", "update_time", "current_node", "nodes", "characters", "without_parent", "last_role")
+
+
+@query
+def export_warnings(spark, sf_dir):
+    found = assemble(checkpointed(scan(export_files(table(spark, sf_dir, "conversations")))))
+    return found.warnings.select("path", F.col("ord").cast("bigint").alias("ord"), "warning")
+
+
 @query
 def roots(spark, sf_dir):
     return G.roots(graphs(spark, sf_dir)[1])
@@ -232,7 +251,7 @@ def technical_details(spark, sf_dir):
 
 @query
 def quoted_terms(spark, sf_dir):
-    return items(D.quoted_terms(document_messages(spark, sf_dir)))
+    return items(D.quoted_terms(shown(spark, sf_dir)[1]))
 
 
 @query
@@ -241,12 +260,21 @@ def digest_sample(spark, sf_dir):
     return n.select("user_id", F.posexplode(T.sampled(F.col("n"), 12)).alias("step", "place")).select("user_id", F.col("step").cast("bigint").alias("step"), F.col("place").cast("bigint").alias("place"))
 
 
+SELECTORS = (
+    Selector(id="conversation-000007"), Selector(query="conversation-000012"), Selector(query="conversation-00"), Selector(title="Weekly Report"), Selector(query="weekly report"), Selector(title="wkly rprt"),
+    Selector(id="no such id"), Selector(title="no such title"),
+)
+
+
 @query
 def select_ladder(spark, sf_dir):
-    conversations = checkpointed(graphs(spark, sf_dir, linear)[0])
+    """Every tier of the ladder, with more candidates than are listed."""
+    weekly = F.col("conv_id").cast("bigint") % 5 == 0
+    conversations = graphs(spark, sf_dir, linear)[0].withColumn("title", F.when(weekly, "Weekly Report").otherwise(F.col("title")))
+    conversations = checkpointed(conversations.withColumn("conv_id", F.concat(F.lit("conversation-"), F.lpad("conv_id", 6, "0"))))
     out = None
-    for i, s in enumerate((Selector(id="7"), Selector(query="12"), Selector(id="no such id"), Selector(title="no such title"))):
-        found = candidates(conversations, s).where("tier < 4").select(F.lit(i).alias("selector"), "conv_id", "tier", "place", "unique")
+    for i, s in enumerate(SELECTORS):
+        found = candidates(conversations, s).select(F.lit(i).alias("selector"), "conv_id", "tier", "place", "unique")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -309,7 +337,10 @@ kids AS (SELECT n.conv_id, n.parent AS node_id, count(*) AS children FROM nodes
 """
 )
 WORDS = r"len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+(?:[''’.·:][\p{L}\p{N}\p{M}_]+)*'))"
-SHOWN = BASE + "vis AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, count(*) OVER (PARTITION BY conv_id) AS n, length_grapheme(text) AS size FROM turns),\n"
+K = "(conv_id * 5 + turn)"
+PLANTS = " ".join("WHEN {} % 12 = {} THEN text || chr(10) || '{}' || CAST({} AS VARCHAR) || '{}'".format(K, i, *(x.replace("'", "''") for x in p.split("{}")[:1]), K, p.split("{}")[1].replace("'", "''")) for i, p in enumerate(PLANTED))
+PLANTED_BASE = BASE.replace("role, text FROM conversations", f"CASE WHEN {K} % 29 = 7 THEN 'tool' ELSE role END AS role, CASE {PLANTS} ELSE text END AS text, {K} % 31 = 5 AS hidden, {K} % 13 = 6 AS code FROM conversations")
+SHOWN = PLANTED_BASE + "vis AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, count(*) OVER (PARTITION BY conv_id) AS n, length_grapheme(text) AS size FROM turns WHERE role <> 'tool' AND NOT hidden),\n"
 SPACE = r"[\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
@@ -405,7 +436,7 @@ SQL["recent_tail_chars"] = SHOWN + "t AS (SELECT *, sum(size) OVER (PARTITION BY
 SQL["transcript_render"] = (
     SHOWN
     + r"""
-b AS (SELECT conv_id, string_agg('## ' || upper(role[1]) || role[2:] || chr(10) || chr(10) || regexp_replace(text, '\s+$', ''), chr(10) || chr(10) ORDER BY idx) AS body FROM vis GROUP BY conv_id),
+b AS (SELECT conv_id, string_agg('## ' || upper(role[1]) || role[2:] || chr(10) || chr(10) || CASE WHEN code THEN '```python' || chr(10) || regexp_replace(text, '\s+$', '') || chr(10) || '```' ELSE regexp_replace(text, '\s+$', '') END, chr(10) || chr(10) ORDER BY idx) AS body FROM vis GROUP BY conv_id),
 d AS (SELECT conv_id, '# ' || """
     + sql_clean("title")
     + r""" || chr(10) || chr(10) || 'Conversation ID: ' || conv_id || chr(10) || 'Created: ' || strftime(make_timestamp(CAST(create_time AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') || chr(10) || 'Updated: ' || strftime(make_timestamp(CAST(update_time AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || body AS t FROM conv JOIN b USING (conv_id))
@@ -489,12 +520,28 @@ l AS (SELECT conv_id, category, '- **' || ['Code languages', 'Files and paths',
 SELECT conv_id, string_agg(line, chr(10) ORDER BY category) AS body FROM l GROUP BY conv_id"""
 )
 SQL["quoted_terms"] = (
-    rf"""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS conv_id, string_split(text, '`') AS l FROM documents),
-p AS (SELECT conv_id, generate_subscripts(l, 1) - 1 AS piece, regexp_replace(unnest(l), '^{SPACE}+|{SPACE}+$', '', 'g') AS raw FROM s),
+    SHOWN
+    + rf"""s AS (SELECT conv_id, idx, string_split(text, '`') AS l FROM vis),
+p AS (SELECT conv_id, idx, generate_subscripts(l, 1) - 1 AS piece, regexp_replace(unnest(l), '^{SPACE}+|{SPACE}+$', '', 'g') AS raw FROM s),
 """
-    + sql_items(f"SELECT conv_id, piece, {sql_clean('raw')} AS text FROM p WHERE piece % 2 = 1 AND NOT contains(raw, chr(10)) AND length_grapheme(raw) BETWEEN 1 AND 60", "piece", 10, "text")
+    + sql_items(f"SELECT conv_id, idx, piece, {sql_clean('raw')} AS text FROM p WHERE piece % 2 = 1 AND NOT contains(raw, chr(10)) AND length_grapheme(raw) BETWEEN 1 AND 60", "idx, piece", 10, "text")
 )
+SQL["deep_chains"] = """WITH e AS (SELECT event_id, event_id % 16 AS c FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY event_id) AS place, count(*) OVER (PARTITION BY c) AS size, sum(CAST(event_id % 3 = 0 AS INT)) OVER (PARTITION BY c ORDER BY event_id) AS m, sum(CAST(event_id % 3 = 0 AS INT)) OVER (PARTITION BY c) AS held FROM e)
+SELECT CAST(c AS VARCHAR) AS conv_id, CAST(event_id AS VARCHAR) AS node_id, CASE WHEN c = 3 THEN size ELSE place END AS length, CAST(CASE WHEN c = 3 THEN held ELSE m END AS BIGINT) AS messages, c <> 3 AS grounded FROM n"""
+SQL["export_scan"] = BASE + "x AS (SELECT 1) SELECT conv_id, any_value(title) AS title, any_value(update_time) AS update_time, lpad(CAST(any_value(last) AS VARCHAR), 4, '0') AS current_node, count(*) AS nodes, CAST(sum(length_grapheme(text)) AS BIGINT) AS characters, count(*) FILTER (turn = 0) AS without_parent, max(role) AS last_role FROM turns JOIN conv USING (conv_id) GROUP BY conv_id"
+SQL["export_warnings"] = """WITH c AS (SELECT DISTINCT conv_id, '/exports/' || CAST(conv_id % 8 AS VARCHAR) || '.json' AS path FROM conversations),
+w AS (SELECT path, 0 AS part, 'skipped ' || CASE WHEN count(*) = 1 THEN '1 malformed conversation entry' ELSE count(*) || ' malformed conversation entries' END || ' in ' || path AS warning FROM c WHERE conv_id % 9 = 0 GROUP BY path
+UNION ALL SELECT path, 1, 'collapsed ' || CASE WHEN count(*) = 1 THEN '1 duplicate conversation id' ELSE count(*) || ' duplicate conversation ids' END || ' in ' || path || '; kept the copy with the newest update_time' FROM c WHERE conv_id % 6 = 0 GROUP BY path)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY part) - 1 AS ord, warning FROM w"""
 SQL["digest_sample"] = "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), s AS (SELECT user_id, n, unnest(range(least(n, 12))) AS step FROM n) SELECT user_id, step, CAST(CASE WHEN n <= 12 THEN step ELSE step * (n - 1) // 11 END AS BIGINT) AS place FROM s"
-SQL["select_ladder"] = BASE + "f AS (SELECT 0 AS selector, conv_id, 0 AS tier FROM conv WHERE conv_id = '7' UNION ALL SELECT 1, conv_id, 0 FROM conv WHERE conv_id = '12') SELECT selector, conv_id, tier, 0 AS place, true AS \"unique\" FROM f"
+SQL["select_ladder"] = (
+    BASE
+    + """c AS (SELECT 'conversation-' || lpad(conv_id, 6, '0') AS conv_id, CASE WHEN c % 5 = 0 THEN 'Weekly Report' ELSE title END AS title, update_time FROM conv),
+f AS (SELECT 0 AS selector, 0 AS tier, * FROM c WHERE conv_id = 'conversation-000007' UNION ALL SELECT 1, 0, * FROM c WHERE conv_id = 'conversation-000012' UNION ALL SELECT 2, 1, * FROM c WHERE starts_with(conv_id, 'conversation-00')
+    UNION ALL SELECT 3, 2, * FROM c WHERE title = 'Weekly Report' UNION ALL SELECT 4, 3, * FROM c WHERE lower(title) = 'weekly report' UNION ALL SELECT 5, 4, * FROM c WHERE title = 'Weekly Report'),
+o AS (SELECT *, row_number() OVER (PARTITION BY selector ORDER BY update_time DESC, conv_id) - 1 AS place, count(*) OVER (PARTITION BY selector) AS hits FROM f)
+SELECT selector, conv_id, tier, CAST(place AS INTEGER) AS place, hits = 1 AS "unique" FROM o WHERE place < 10"""
+)
 SQL["list_sorted"] = BASE + f"""t AS (SELECT *, coalesce(nullif({sql_clean("title")}, ''), '(untitled)') AS shown FROM conv)
 SELECT * FROM (SELECT 'updated' AS sort, conv_id, title FROM t ORDER BY update_time DESC, conv_id LIMIT 25) UNION ALL SELECT * FROM (SELECT 'title' AS sort, conv_id, title FROM t ORDER BY shown DESC, conv_id DESC LIMIT 25)"""
