@@ -195,7 +195,8 @@ def lists(g: int, keys: Keys, bounds: np.ndarray, more: int = 0) -> pa.Table:
 def answer(sent: DataFrame, lay: Layout, earlier: bool, more: int = 0) -> DataFrame:
     """One bit for each key sent: does a block of a lower rank (``earlier``) or any other block (else) have it too?
 
-    A bucket's keys are looked at in ranges of about ``AT_ONCE``, so that besides the lists themselves only bits grow.
+    Buckets are few and unequal in where their hashes fall, so there are four times as many tasks; most are empty.  A
+    bucket's keys are looked at in ranges of about ``AT_ONCE``, so that besides the lists themselves only bits grow.
     """
     at_once = AT_ONCE
 
@@ -235,7 +236,7 @@ def answer(sent: DataFrame, lay: Layout, earlier: bool, more: int = 0) -> DataFr
             "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary()),
         })
 
-    return sent.repartition(lay.buckets, "b").groupBy("b").applyInArrow(run, ANSWERS)
+    return sent.repartition(4 * lay.buckets, "b").groupBy("b").applyInArrow(run, ANSWERS)
 
 
 def told(keys: Keys, bounds: np.ndarray, answers: pa.Table) -> np.ndarray:

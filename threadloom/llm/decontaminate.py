@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.batches import small
+
 #: Fixed by the contract: what separates words, after A-Z are lower-cased.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -164,9 +166,9 @@ def parts(benchmark: DataFrame, id_col: str, text_col: str, window: int, part_wo
 
 
 def taken_up(batches: Iterator[pa.RecordBatch], several: bool) -> Iterator[pa.RecordBatch]:
-    """Batches as they come, or joined up to ``TAKEN_UP``."""
+    """Small batches, or joined up to ``TAKEN_UP``."""
     some: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in small(batches):
         if not several:
             yield batch
             continue

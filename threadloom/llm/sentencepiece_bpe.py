@@ -19,6 +19,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.batches import small
+
 MARK = "▁"
 UNKNOWN = " ⁇ "  # what the library decodes an unknown id to
 LETTER = r"[^\W\d_¹²³]"
@@ -211,20 +213,18 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         ends = np.array([c.begin, c.end], "<u4").tobytes()
-        for whole in batches:
-            for start in range(0, len(whole), 256):
-                batch = whole.slice(start, 256)
-                texts = batch.column(1).to_pylist()
-                coded = [c.encode(t) for t in texts]
-                packed = [ends[:4] + x[0] + ends[4:] for x in coded]
-                if check:
-                    his = c.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-                    for doc, mine, ids, (_, own), text in zip(batch.column(0), packed, his, coded, c.library.decode(his, num_threads=1), strict=True):
-                        if np.array(ids, "<u4").tobytes() != mine:
-                            raise ValueError(f"document {doc.as_py()}: the ids differ from the library's")
-                        if text != own:
-                            raise ValueError(f"document {doc.as_py()}: the decoded text differs from the library's")
-                n = pa.array([len(p) // 4 for p in packed], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(packed, pa.binary()), pa.array([x[1] for x in coded], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        for batch in small(batches):
+            texts = batch.column(1).to_pylist()
+            coded = [c.encode(t) for t in texts]
+            packed = [ends[:4] + x[0] + ends[4:] for x in coded]
+            if check:
+                his = c.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+                for doc, mine, ids, (_, own), text in zip(batch.column(0), packed, his, coded, c.library.decode(his, num_threads=1), strict=True):
+                    if np.array(ids, "<u4").tobytes() != mine:
+                        raise ValueError(f"document {doc.as_py()}: the ids differ from the library's")
+                    if text != own:
+                        raise ValueError(f"document {doc.as_py()}: the decoded text differs from the library's")
+            n = pa.array([len(p) // 4 for p in packed], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(packed, pa.binary()), pa.array([x[1] for x in coded], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, SCHEMA)

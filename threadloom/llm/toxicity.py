@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.batches import small
 from threadloom.session import checkpointed
 
 WORD = re.compile(r"[^\W_]+")  # digits stay inside words: they stand for letters in some misspellings
@@ -249,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         rows = [0, 0]
-        for batch in batches:
+        for batch in small(batches):
             for t, y in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 y = int(y > 0)
                 rows[y] += 1
@@ -277,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon = choose({r.term: (r.pos, r.neg) for r in rows}, pos, neg)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array([lexicon.misspelled(w) is not None for w in batch.column("term").to_pylist()], pa.bool_()))
 
     ordinary = counts.where(usual & word & (F.col("term") != "") & (F.col("neg") * (pos + 1) >= F.col("pos") * (neg + 1))).select("term")
@@ -285,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(lexicon)
-        for batch in batches:
+        for batch in small(batches):
             found = [s.features(t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([[round(math.log1p(x), 2) for x in f] for f in found], pa.list_(pa.float64())), batch.column("y")], names=["x", "y"])
 
@@ -337,7 +338,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(model.lexicon)
-        for batch in batches:
+        for batch in small(batches):
             found = [s.features(t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.score(f) for f in found]), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "score", "features"])
 
@@ -350,7 +351,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(model.lexicon)
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array([model.score(s.features(t or "")) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
