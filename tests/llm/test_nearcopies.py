@@ -92,3 +92,36 @@ def test_stage_drops_near_copies(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in P.simhash(spark, df, str(tmp_path)).collect()}
     assert kept == {c for _, c in brute([x[:2] for x in rows])} and len(kept) < len(rows)
+
+
+def test_fingerprints_propose_pairs_and_places_drop_strangers(spark, monkeypatch):
+    """The Gray index connects all within three bits; strangers with one passage in common aren't compared in full."""
+    r, rows, seen = random.Random(3), [], []
+    passage = [f"p{i}" for i in range(12)]
+    for _ in range(30):
+        w = [f"w{r.randrange(90_000)}" for _ in range(r.randrange(40, 400))]
+        rows.append((len(rows), " ".join(w[:20] + passage + w[20:])))
+    for d, t in rows[:6]:
+        rows.append((len(rows), t + " end"))
+    real = N.similar
+
+    def similar(pairs, *rest):
+        seen.append({(p.a, p.b) for p in pairs.collect()})
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(N, "similar", similar)
+    got = N.near_copies(table(spark, rows)).select("doc_id", "component_id", "sig").collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == sorted(brute(rows))
+    sig = {x.doc_id: x.sig for x in got}
+    fp = {d: N.majority(N.shingle_hashes(t.encode(), 5)) for d, t in rows}
+    near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= N.NEAR]
+    first = {frozenset(p) for p in seen[0]}
+    assert near and all(frozenset((sig[a], sig[b])) in first for a, b in near)
+    assert sum(map(len, seen[1:])) < 36 * 35 // 2 // 4
+
+
+def test_large_groups_by_pivots(spark, monkeypatch):
+    monkeypatch.setattr(N, "FEW", 1)
+    rows = planted(2)[:90]
+    got = N.near_copies(table(spark, rows)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))

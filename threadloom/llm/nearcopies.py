@@ -1,19 +1,19 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
-
-Two sets with a similarity of ``least`` share at least that part of either, so in any order that is the same for all
-sets, the first size - ceil(least * size) + 1 members of both have one in common.  Shingles that are common in a
-sample come last in that order, which keeps groups small; the order has no bearing on the result.  Documents with equal
-sets are one node.  A pair that shares such a key is dropped only by bounds that hold for sure: sizes, and parities of
-hashed cells, which differ in no more places than the sets have members apart.  What is left is compared in full.
-
-SimHash can't propose these pairs: at a similarity of 0.8 fingerprints differ in about 10 of 64 bits.  As a first step
-before the exact way, the Gray index only added comparisons (README has the figures).
+"""Near copies by the exact Jaccard similarity of word shingles, found through SimHash fingerprints first.
+
+Fingerprints of the same shingles go through the Gray-order index of operator 9, which proposes pairs that differ in 3
+bits at most; what the texts confirm is linked.  At a similarity of 0.8 fingerprints differ in about 10 of 64 bits, so
+an exact way finds the links that the index can't: two sets with a similarity of ``least`` share at least that part of
+either, so in any order that is the same for all sets, the first size - ceil(least * size) + 1 members of both have one
+in common.  Shingles that are common in a sample come last in that order, the most common at the end, which keeps
+groups small; the order has no bearing on the result.  Documents with equal sets are one node.  A pair that shares such
+a key is dropped only by bounds that hold for sure: sizes, places of the first member in common (none before it is
+shared), and parities of hashed cells, which differ in no more places than the sets have members apart.  What is left
+is compared in full.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +22,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.batches import small
-from threadloom.llm.simhash import components
-from threadloom.session import checkpointed, discard, written
+from threadloom.llm.simhash import components, links, majority, shingle_hashes
+from threadloom.session import discard, written
 
 CELLS = 512  # at least
 SLOTS = 1 << 20  # of hashes of texts that are looked for
-SAMPLE, OFTEN, COMMON = 4_000, 3, 200_000  # documents looked at for common shingles, least count, most shingles
+SAMPLE, PART, OFTEN, COMMON = (4_000, 40_000), 16, 3, 200_000  # fewest and most documents looked at for common shingles, part of all, least count, most shingles
+PLACES = 1 << 22  # of hashes of common shingles
 ROUNDS = 8  # of comparisons with pivots, before all pairs that are left are compared
+FEW = 64  # members of a key up to which all its pairs are looked at
+NEAR = 3  # bits
+SEEN = 1_000_000  # sets that a task remembers
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``n`` words; a shorter text is one run, an empty one has none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= n:
-        return np.array([h(joined, 42)], np.uint64)
-    starts = [0, *accumulate(len(w) + 1 for w in words)]
-    return np.unique(np.fromiter((h(joined[a : b - 1], 42) for a, b in zip(starts, starts[n:], strict=False)), np.uint64))
+    return np.unique(shingle_hashes(text, n))
 
 
 def parity(members: np.ndarray) -> np.ndarray:
@@ -57,43 +54,67 @@ def folded(p: Column, size: Column) -> Column:
     return F.when(F.size(p) > size, half).otherwise(p)
 
 
-def prefix(members: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """Members of which two sets that are similar enough share one."""
+def prefix(members: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """Members of which two sets that are similar enough share one, by level and hash."""
     n = len(members)
-    late = np.isin(members, common, assume_unique=True)
-    return np.concatenate([members[~late], members[late]])[: n - -(-percent * n // 100) + 1] if n else members
+    if not n:
+        return members
+    late = level[(members % np.uint64(len(level))).astype(np.int64)]
+    return members[np.argsort(late, kind="stable")][: n - -(-percent * n // 100) + 1]
 
 
-def sets(docs: DataFrame, n: int) -> DataFrame:
-    """sig and members of each row of ``t``."""
+def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes of common shingles, and a level for each that rises with the count."""
+    rows = max(1, docs.count())
+    part = min(1, min(max(rows // PART, SAMPLE[0]), SAMPLE[1]) / rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            found = [shingles(t, n) for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
-            sig = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["sig", "members"])
+            found = [shingles(t, n).view(np.int64) for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["members"])
 
-    return docs.select("t").mapInArrow(run, "sig bigint, members array<bigint>")
+    some = docs.select("t", "th").where(F.pmod(F.xxhash64("th"), F.lit(1_000_000)) < int(1_000_000 * part)).dropDuplicates(["th"])
+    counts = some.select("t").mapInArrow(run, "members array<bigint>").select(F.explode("members").alias("m")).groupBy("m").count().where(F.col("count") >= OFTEN)
+    top = counts.orderBy(F.desc("count"), "m").limit(COMMON).toPandas()
+    places = (top["m"].to_numpy(np.int64).view(np.uint64) % np.uint64(PLACES)).astype(np.int64)
+    return places, np.log2(top["count"].to_numpy(np.float64)).astype(np.uint8)
 
 
-def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    rows = docs.count()
-    some = docs.select("t", "th").where(F.pmod(F.xxhash64("th"), F.lit(1_000_000)) < int(1_000_000 * min(1, SAMPLE / max(1, rows)))).dropDuplicates(["th"])
-    counts = sets(some, n).select(F.explode("members").alias("m")).groupBy("m").count().where(F.col("count") >= OFTEN)
-    top = counts.orderBy(F.desc("count"), "m").limit(COMMON).select("m").toPandas()["m"]
-    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+def proposed(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that connect all whose fingerprints differ in ``NEAR`` bits at most, by the Gray index."""
+    fps = nodes.groupBy("fp").agg(F.min("sig").alias("first"))
+    equal = nodes.join(fps, "fp").where("sig != first").select(F.col("first").alias("a"), F.col("sig").alias("b"))
+    near = links(fps.select("fp"), NEAR).withColumnsRenamed({"a": "fp_a", "b": "fp_b"})
+    for side in "ab":
+        near = near.join(fps.select(F.col("fp").alias(f"fp_{side}"), F.col("first").alias(side)), f"fp_{side}")
+    return equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def possible(percent: int) -> Column:
+    """What sizes and places of the first member in common leave open, for rows with size, pos, size_b and pos_b."""
+    both = F.col("size") + F.col("size_b")
+    sized = F.least("size", "size_b") * 100 >= F.greatest("size", "size_b") * percent
+    shared = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b")) * (100 + percent) >= both * percent
+    return sized & shared & ((F.col("pos") + F.col("pos_b")) * (100 + percent) <= both * (100 - percent))
 
 
 def texts_of(own: DataFrame, ids: DataFrame) -> DataFrame:
-    """th and t, once each, of the texts whose hashes are in ``ids``; few others are shuffled."""
+    """th and t, once each, of the texts whose hashes are in ``ids``, and of few others."""
     wanted = np.zeros(SLOTS, bool)
     wanted[ids.select(F.pmod("th", F.lit(SLOTS)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in small(batches):
-            yield batch.filter(pa.array(wanted[batch.column(0).to_numpy() % SLOTS]))
+            keep = wanted[(th := batch.column(0).to_numpy()) % SLOTS]
+            for i in np.flatnonzero(keep):
+                keep[i] = th[i] not in seen
+                seen.add(th[i])
+            if len(seen) > SEEN:
+                seen.clear()
+            yield batch.filter(pa.array(keep))
 
-    return own.select("th", "t").mapInArrow(run, "th bigint, t string").join(ids, "th", "left_semi").dropDuplicates(["th"])
+    return own.select("th", "t").mapInArrow(run, "th bigint, t string").dropDuplicates(["th"])
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, own: DataFrame, n: int, percent: int) -> DataFrame:
@@ -119,7 +140,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, own: DataFrame, n: int, percent:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    found = checkpointed(pairs.select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint"))
+    found = written(pairs.select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint"))
     discard(could_be, texts)
     return found
 
@@ -133,49 +154,74 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Exact up to 64-bit hashes.  Null ids stay null and are never a component's id.  Empty table: no rows.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
-    common = common_shingles(own, shingle)
+    places, levels = common_shingles(own, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, seen = np.zeros(PLACES, np.uint8), set()
+        np.maximum.at(level, places, levels)
         for batch in small(batches):
-            found = [shingles(t, shingle) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            sig = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
-            lists = [pa.array([f(s).view(np.int64) for s in found], pa.list_(pa.int64())) for f in (parity, lambda s: prefix(s, common, percent))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sig), pa.array([len(s) for s in found], pa.int64()), *lists], names=["doc_id", "th", "sig", "size", "parity", "keys"])
-
-    full = written(own.select("doc_id", "t", "th").mapInArrow(run, "doc_id bigint, th bigint, sig bigint, size bigint, parity array<bigint>, keys array<bigint>"))
+            out: list[tuple] = []
+            for t in batch.column(1).cast(pa.large_binary()).to_pylist():
+                s = np.unique(h := shingle_hashes(t, shingle))
+                sig = xxhash.xxh64_intdigest(s.tobytes())
+                # copies within a task have their keys once
+                out.append((sig, majority(h), len(s), *((None, None) if sig in seen else (parity(s), prefix(s, level, percent).view(np.int64)))))
+                seen.add(sig)
+            if len(seen) > SEEN:
+                seen.clear()
+            sig, fp, size, *lists = zip(*out, strict=True) if out else [()] * 5
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sig, fp)]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *longs, pa.array(size, pa.int64()), *lists], names=["doc_id", "th", "sig", "fp", "size", "parity", "keys"])
+
+    full = written(own.select("doc_id", "t", "th").mapInArrow(run, "doc_id bigint, th bigint, sig bigint, fp bigint, size bigint, parity array<bigint>, keys array<bigint>"))
     rows = written(full.select("doc_id", "th", "sig"))
-    nodes = written(full.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("parity").alias("parity")))
+    nodes = written(full.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("parity", ignorenulls=True).alias("parity")))
     key = Window.partitionBy("key")
-    members = full.groupBy("sig").agg(F.first("keys").alias("keys")).select("sig", F.explode("keys").alias("key"))
-    members = written(members.withColumn("lo", F.min("sig").over(key)).withColumn("hi", F.max("sig").over(key)).where("lo < hi").select("key", "sig"))
+    members = full.select("sig", "size", F.posexplode("keys").alias("pos", "key"))
+    members = members.withColumn("lo", F.min("sig").over(key)).withColumn("hi", F.max("sig").over(key)).where("lo < hi")
+    members = written(members.select("key", "sig", "size", "pos").dropDuplicates(["key", "sig"]))
     discard(full)
-    edges = checkpointed(members.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0))
-    roots = components(edges)
+
+    def confirmed(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Roots, also by those of the pairs that are similar enough."""
+        found = similar(pairs, nodes, own, shingle, percent)
+        now = components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        discard(found)
+        return now
+
+    def pairs_of(x: DataFrame, y: DataFrame) -> DataFrame:
+        other = y.select("key", *(F.col(c).alias(f"{c}_b") for c in ("sig", "size", "pos", "root")))
+        return x.join(other, "key").where((F.col("root") != F.col("root_b")) & possible(percent))
+
+    roots = confirmed(proposed(nodes), None)
+    until = float("inf")  # open pairs up to which pivots are worth another round
     for k in range(ROUNDS + 1):
-        named = members.join(roots, members["sig"] == roots["node"], "left").select("key", "sig", F.coalesce("root", "sig").alias("root"))
+        named = members.join(roots, members["sig"] == roots["node"], "left").select("key", "sig", "size", "pos", F.coalesce("root", "sig").alias("root"))
         counts = named.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("within"))
-        open_, total = counts.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        named = written(named.join(counts.where(F.col("n") * F.col("n") > F.col("within")).select("key"), "key", "left_semi"))
-        discard(members)
         # keys whose members are all in one class by now are never looked at again
-        members = written(named.select("key", "sig"))
-        if not open_:
-            discard(named, members)
-            break
-        last = k == ROUNDS or open_ <= 4 * total
-        if last:
-            other = named.select("key", F.col("sig").alias("b"), F.col("root").alias("root_b"))
-            pairs = named.withColumnRenamed("sig", "a").join(other, "key").where("a < b and root != root_b")
-        else:
+        open_ = F.col("n") * F.col("n") - F.col("within")
+        counts = written(counts.select("key", "n", open_.alias("open")).where("open > 0"))
+        many = F.col("open") > FEW * F.col("n")
+        left = counts.agg(F.sum(F.when(many, F.col("open")))).first()[0] or 0
+        last = not left or k == ROUNDS or left > until
+        until = left / 2
+        named = written(named.join(counts.select("key", many.alias("many")), "key"))
+        discard(members, counts)
+        few = named if last else named.where("not many")
+        pairs = pairs_of(few, few).where("sig < sig_b").select("sig", "sig_b")
+        if not last:
             # members of a key are compared with the same one of them; large groups of near copies come together so
-            pivot = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", F.lit(k)).alias("h"), F.col("sig").alias("b"), F.col("root").alias("root_b"))).alias("p")).select("key", "p.b", "p.root_b")
-            pairs = named.withColumnRenamed("sig", "a").join(pivot, "key").where("root != root_b")
-        edges = edges.unionByName(similar(pairs.select("a", "b").distinct(), nodes, own, shingle, percent))
-        roots = components(edges)
-        discard(named)
+            several = named.where("many")
+            pivot = several.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", F.lit(k)).alias("h"), "sig", "size", "pos", "root")).alias("p")).select("key", "p.sig", "p.size", "p.pos", "p.root")
+            pairs = pairs.unionByName(pairs_of(several, pivot).select(F.least("sig", "sig_b").alias("sig"), F.greatest("sig", "sig_b").alias("sig_b")))
+        roots = confirmed(pairs.select(F.col("sig").alias("a"), F.col("sig_b").alias("b")).distinct(), roots)
         if last:
-            discard(members)
+            discard(named)
             break
-    rooted = checkpointed(nodes.join(roots, nodes["sig"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("root")))
+        members = written(several.select("key", "sig", "size", "pos"))
+        discard(named)
+    rooted = written(nodes.join(roots, nodes["sig"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("root")))
+    discard(nodes)
     ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "root", "component_id")
-    return rows.select("doc_id", "th", "sig").join(ids, "sig", "left").select("doc_id", "th", "sig", "root", "component_id")
+    return rows.join(ids, "sig", "left").select("doc_id", "th", "sig", "root", "component_id")

@@ -27,23 +27,32 @@ BLOCKS = 4
 BUSY = 20_000  # fingerprints of one key beyond which it is dealt again
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """As the contract has it: shingles with repeats, a bit is set if in over half of their hashes."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` words, with repeats; a shorter text is one run, an empty one has none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = len(words) - shingle + 1
     joined = b" ".join(words)
     h = xxhash.xxh64_intdigest
     if n <= 1:
-        return h(joined, 42)
+        return np.array([h(joined, 42)], np.uint64)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
-    hashes = np.fromiter((h(joined[a : b - 1], 42) for a, b in zip(starts, starts[shingle:], strict=False)), np.uint64, n)
+    return np.fromiter((h(joined[a : b - 1], 42) for a, b in zip(starts, starts[shingle:], strict=False)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
     total = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
+    for i in range(0, len(hashes), 1 << 16):
         part = np.ascontiguousarray(hashes[i : i + (1 << 16)]).view(np.uint8).reshape(-1, 8)
         total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """As the contract has it: shingles with repeats, a bit is set if in over half of their hashes."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
