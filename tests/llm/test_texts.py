@@ -316,3 +316,9 @@ def test_gray_index_finds_all_pairs():
 def test_no_near_duplicates_of_nothing(spark):
     assert S.near_duplicates(table(spark, [])).count() == 0
     assert S.components(spark.createDataFrame([(1, 2), (2, 3), (9, 9), (5, 6), (3, 1)], "a long, b long")).orderBy("node").select(F.array("node", "root")).collect() == [([2, 1],), ([3, 1],), ([6, 5],)]
+
+
+def test_ids_are_packed_as_little_endian_unsigned_integers():
+    from threadloom.llm.sentencepiece_bpe import as_bytes
+
+    assert as_bytes([]) == b"" and as_bytes([1, 256, 2**32 - 1]) == b"\x01\0\0\0\0\x01\0\0\xff\xff\xff\xff"

@@ -10,6 +10,8 @@ symbol pairs, ordered by score and then from the left, is worked off until no pa
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -169,6 +171,13 @@ class Codec:
         return b"".join(found), out[1:]
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    if sys.byteorder == "little" and array("I").itemsize == 4:
+        return array("I", ids).tobytes()  # a third of the time that an array of numpy's takes
+    return np.array(ids, "<u4").tobytes()
+
+
 def as_text(raw: bytes) -> str:
     """UTF-8 with U+FFFD for each byte that is in no character."""
     try:
@@ -220,7 +229,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             if check:
                 his = c.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
                 for doc, mine, ids, (_, own), text in zip(batch.column(0), packed, his, coded, c.library.decode(his, num_threads=1), strict=True):
-                    if np.array(ids, "<u4").tobytes() != mine:
+                    if as_bytes(ids) != mine:
                         raise ValueError(f"document {doc.as_py()}: the ids differ from the library's")
                     if text != own:
                         raise ValueError(f"document {doc.as_py()}: the decoded text differs from the library's")
