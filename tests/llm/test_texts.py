@@ -7,12 +7,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
 from llm.corpora import odd_rows, random_rows, table
+from threadloom.llm import sentencepiece_bpe as B
 from threadloom.llm import simhash as S
 from threadloom.llm import toxicity as X
 from threadloom.llm.decontaminate import Automaton, scan_documents, words
@@ -322,3 +324,49 @@ def test_ids_are_packed_as_little_endian_unsigned_integers():
     from threadloom.llm.sentencepiece_bpe import as_bytes
 
     assert as_bytes([]) == b"" and as_bytes([1, 256, 2**32 - 1]) == b"\x01\0\0\0\0\x01\0\0\xff\xff\xff\xff"
+
+
+def library_says(c, texts):
+    ids = c.library.encode(texts)
+    return [(x, t) for x, t in zip(ids, c.library.decode(ids), strict=True)]
+
+
+def says(c, texts):
+    ids, at, decoded = c.encode_all(texts)
+    return [(ids[a:b].tolist(), t) for a, b, t in zip(at, at[1:], decoded, strict=False)]
+
+
+def test_different_words_are_not_piled_up():
+    with open(MODEL, "rb") as f:
+        c = B.Codec(f.read())
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("ethanoisr") for _ in range(r.randrange(8, 14))) for _ in range(2000)) for _ in range(30)]
+    for t in texts:
+        c.encode(t)
+    assert len(c.new) + len(c.old) < 100
+    assert says(c, texts) == library_says(c, texts)
+
+
+def test_texts_encoded_together(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab e  the\n▁é日😀\0ing<s>.,;​²") for _ in range(r.choice([0, 1, 3, 40, 300]))) for _ in range(400)]
+    texts += ["the ", " the", "", "the", "a" * 200, "日日 😀😀", ". .. ... ....", "x" * 47 + " " + "x" * 48 + " " + "x" * 49]
+    c = codec(MODEL)
+    assert says(c, texts) == library_says(c, texts) and says(c, []) == [] and says(c, ["", ""]) == [([], "")] * 2
+    monkeypatch.setattr(B, "POWER", 1)  # all orders of the same characters have one hash
+    with open(MODEL, "rb") as f:
+        c = B.Codec(f.read())
+    assert says(c, ["on no eat tea ate", *texts]) == library_says(c, ["on no eat tea ate", *texts])
+    monkeypatch.setattr(B, "PORTION", 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["a", "t"])
+    parts = [p.column(1).to_pylist() for p in B.portions(batch)]
+    assert sum(parts, []) == texts and all(sum(map(bool, p)) == 1 or sum(map(len, p)) <= 50 for p in parts) and not list(B.portions(batch.slice(0, 0)))
+
+
+def test_unknown_characters_without_bytes():
+    from threadloom.llm.sentencepiece_bpe import neighbours
+
+    for join in (False, True):
+        kind, joined = neighbours({"▁": 0, "a": 1, "b": 2, "▁a": 3, "ab": 4, "c": 5}, join)
+        may = lambda s: bool(joined[kind[ord(s[0])], kind[ord(s[1])]])
+        assert may(" a") and may("ab") and not may("ba") and not may("a ") and not may("cc") and not may("aa") and may("xy") == join
