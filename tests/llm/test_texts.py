@@ -370,3 +370,20 @@ def test_unknown_characters_without_bytes():
         kind, joined = neighbours({"▁": 0, "a": 1, "b": 2, "▁a": 3, "ab": 4, "c": 5}, join)
         may = lambda s: bool(joined[kind[ord(s[0])], kind[ord(s[1])]])
         assert may(" a") and may("ab") and not may("ba") and not may("a ") and not may("cc") and not may("aa") and may("xy") == join
+
+
+def test_memory_is_released_around_tasks(monkeypatch):
+    from threadloom.llm import batches
+
+    said = []
+    monkeypatch.setattr(batches, "release", lambda: said.append("release"))
+
+    def run(found):
+        for b in found:
+            said.append(b)
+            yield b
+
+    assert list(batches.lean(run)([1, 2])) == [1, 2] and said == ["release", 1, 2, "release"]
+    with pytest.raises(TypeError):
+        list(batches.lean(run)(None))
+    assert said[4:] == ["release", "release"]

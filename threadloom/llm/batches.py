@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
@@ -13,3 +14,24 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, len(batch), rows):
             yield batch.slice(start, rows)
+
+
+def release() -> None:
+    """Gives memory that is free but still held by allocators back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function, for tasks: Python workers stay for later stages, so they let go what earlier tasks left when
+    one begins, and what it left itself when it ends."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return lean_run

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.batches import small
+from threadloom.llm.batches import lean, small
 
 #: Fixed by the contract: what separates words, after A-Z are lower-cased.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -221,7 +221,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
             )
 
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for k, c in zip(kept, carry, strict=True)))
-    return own.mapInArrow(run, SCHEMA + more)
+    return own.mapInArrow(lean(run), SCHEMA + more)
 
 
 def cut(text: str | None, spans: list[tuple[int, int]], n_words: int, max_length: int, max_coverage: float) -> str | None:

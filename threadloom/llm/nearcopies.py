@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.batches import small
+from threadloom.llm.batches import lean, small
 from threadloom.llm.simhash import components, links, majority, shingle_hashes
 from threadloom.session import discard, written
 
@@ -74,7 +74,7 @@ def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["members"])
 
     some = docs.select("t", "th").where(F.pmod(F.xxhash64("th"), F.lit(1_000_000)) < int(1_000_000 * part)).dropDuplicates(["th"])
-    counts = some.select("t").mapInArrow(run, "members array<bigint>").select(F.explode("members").alias("m")).groupBy("m").count().where(F.col("count") >= OFTEN)
+    counts = some.select("t").mapInArrow(lean(run), "members array<bigint>").select(F.explode("members").alias("m")).groupBy("m").count().where(F.col("count") >= OFTEN)
     top = counts.orderBy(F.desc("count"), "m").limit(COMMON).toPandas()
     places = (top["m"].to_numpy(np.int64).view(np.uint64) % np.uint64(PLACES)).astype(np.int64)
     return places, np.log2(top["count"].to_numpy(np.float64)).astype(np.uint8)
@@ -114,7 +114,7 @@ def texts_of(own: DataFrame, ids: DataFrame) -> DataFrame:
                 seen.clear()
             yield batch.filter(pa.array(keep))
 
-    return own.select("th", "t").mapInArrow(run, "th bigint, t string").dropDuplicates(["th"])
+    return own.select("th", "t").mapInArrow(lean(run), "th bigint, t string").dropDuplicates(["th"])
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, own: DataFrame, n: int, percent: int) -> DataFrame:
@@ -140,7 +140,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, own: DataFrame, n: int, percent:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    found = written(pairs.select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint"))
+    found = written(pairs.select("a", "b", "t_a", "t_b").mapInArrow(lean(run), "a bigint, b bigint"))
     discard(could_be, texts)
     return found
 
@@ -174,7 +174,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lists = [pa.array(x, pa.list_(pa.int64())) for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *longs, pa.array(size, pa.int64()), *lists], names=["doc_id", "th", "sig", "fp", "size", "parity", "keys"])
 
-    full = written(own.select("doc_id", "t", "th").mapInArrow(run, "doc_id bigint, th bigint, sig bigint, fp bigint, size bigint, parity array<bigint>, keys array<bigint>"))
+    full = written(own.select("doc_id", "t", "th").mapInArrow(lean(run), "doc_id bigint, th bigint, sig bigint, fp bigint, size bigint, parity array<bigint>, keys array<bigint>"))
     rows = written(full.select("doc_id", "th", "sig"))
     nodes = written(full.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("parity", ignorenulls=True).alias("parity")))
     key = Window.partitionBy("key")

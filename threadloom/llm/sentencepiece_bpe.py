@@ -22,6 +22,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.batches import lean
+
 MARK = "▁"
 UNKNOWN = " ⁇ "  # what the library decodes an unknown id to
 SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
@@ -31,7 +33,7 @@ PLACES = WIDTHS[-1] + 2
 NEVER = np.iinfo(np.int64).max
 KEPT = 50_000  # longer and strange chunks remembered in each of two generations, long ones counted as several
 LONG = 64  # characters from which a chunk counts as two
-PORTION = 1 << 20  # characters of texts encoded together, unless one has more
+PORTION = 1 << 18  # characters of texts encoded together, unless one has more
 MIX, POWER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # factors of hashes
 
 
@@ -398,4 +400,4 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), packed, pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(lean(run), SCHEMA)

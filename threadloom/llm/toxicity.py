@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.batches import small
+from threadloom.llm.batches import lean, small
 from threadloom.session import checkpointed
 
 WORD = re.compile(r"[^\W_]+")  # digits stay inside words: they stand for letters in some misspellings
@@ -354,4 +354,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
         for batch in small(batches):
             yield batch.filter(pa.array([model.score(s.features(t or "")) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
