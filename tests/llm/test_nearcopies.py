@@ -125,3 +125,44 @@ def test_large_groups_by_pivots(spark, monkeypatch):
     rows = planted(2)[:90]
     got = N.near_copies(table(spark, rows)).select("doc_id", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
+@pytest.mark.parametrize("size", [150, 300])
+def test_pairs_of_a_large_group_grow_with_its_members(spark, monkeypatch, size):
+    """Copies of one text whose changes leave most pairs of them a little too different: rows of pairs, of a key or
+    compared, are as many as a few for each member, not as the square."""
+    monkeypatch.setattr(N, "FEW", 4)
+    r, rows, seen = random.Random(7), [], []
+    base = [f"w{i}" for i in range(150)]
+    for i in range(size):
+        w = list(base)
+        for k in r.sample(range(len(w)), r.randrange(1, 6)):
+            w[k] = f"x{i}x{k}"
+        rows.append((i, " ".join(w)))
+    real = N.similar
+
+    def similar(pairs, *rest):
+        seen.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(N, "similar", similar)
+    got = N.near_copies(table(spark, rows)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+    assert len({x.component_id for x in got}) > 1 and sum(seen) < 8 * size
+
+
+def test_sketches_never_exceed_differences(spark):
+    """Sketches are parities folded to a fixed number of cells, so their bound holds whatever the sizes."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 150, 3000, 20_000)]
+    sets += [np.unique(np.concatenate([x[: len(x) * 9 // 10], r.integers(0, 1 << 63, len(x) // 9, dtype=np.uint64)])) for x in sets]
+    df = spark.createDataFrame([(i, N.parity(x).tolist()) for i, x in enumerate(sets)], "i long, p array<long>")
+    folds = [np.array(x.s, np.int64).view(np.uint64) for x in df.select("i", N.sketch(df.p).alias("s")).orderBy("i").collect()]
+    for x, p in zip(sets, folds, strict=True):
+        cells = np.bincount(((x >> np.uint64(7)) % np.uint64(N.CELLS)).astype(np.int64), minlength=N.CELLS) & 1
+        assert np.array_equal(np.packbits(cells.astype(np.uint8)).view(np.uint64), p)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert int(np.bitwise_count(folds[i] ^ folds[j]).sum()) <= len(np.setxor1d(x, y))

@@ -8,12 +8,16 @@ in common.  Shingles that are common in a sample come last in that order, the mo
 groups small; the order has no bearing on the result.  Documents with equal sets are one node.  A pair that shares such
 a key is dropped only by bounds that hold for sure: sizes, places of the first member in common (none before it is
 shared), and parities of hashed cells, which differ in no more places than the sets have members apart.  What is left
-is compared in full.
+is compared in full.  In large groups that share a key, near copies are brought into one class by pivots first, members
+of the largest class aren't paired with each other, and parities of a fixed number of cells are a condition of the join,
+so that rows are made only of pairs that are near.  The join still looks at every other pair of such a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +29,12 @@ from threadloom.llm.batches import lean, small
 from threadloom.llm.simhash import components, links, majority, shingle_hashes
 from threadloom.session import discard, written
 
-CELLS = 512  # at least
+CELLS = 2048  # at least
 SLOTS = 1 << 20  # of hashes of texts that are looked for
 SAMPLE, PART, OFTEN, COMMON = (4_000, 40_000), 16, 3, 200_000  # fewest and most documents looked at for common shingles, part of all, least count, most shingles
 PLACES = 1 << 22  # of hashes of common shingles
 ROUNDS = 8  # of comparisons with pivots, before all pairs that are left are compared
+CENTRAL = 8  # a pivot is the most central of one in so many members
 FEW = 64  # members of a key up to which all its pairs are looked at
 NEAR = 3  # bits
 SEEN = 1_000_000  # sets that a task remembers
@@ -54,6 +59,19 @@ def folded(p: Column, size: Column) -> Column:
     return F.when(F.size(p) > size, half).otherwise(p)
 
 
+def sketch(p: Column) -> Column:
+    """Parities of ``CELLS`` cells."""
+    n = CELLS // 64
+    word = lambda i: F.aggregate(F.sequence(i, F.size(p) - 1, F.lit(n)), F.lit(0).cast("bigint"), lambda s, j: s.bitwiseXOR(F.get(p, j)))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), word)
+
+
+def close(percent: int) -> Column:
+    """What sketches leave open, for rows with size, sketch, size_b and sketch_b."""
+    apart = reduce(add, (F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(CELLS // 64)))
+    return apart * (100 + percent) <= (F.col("size") + F.col("size_b")) * (100 - percent)
+
+
 def prefix(members: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
     """Members of which two sets that are similar enough share one, by level and hash."""
     n = len(members)
@@ -190,37 +208,48 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         discard(found)
         return now
 
-    def pairs_of(x: DataFrame, y: DataFrame) -> DataFrame:
-        other = y.select("key", *(F.col(c).alias(f"{c}_b") for c in ("sig", "size", "pos", "root")))
-        return x.join(other, "key").where((F.col("root") != F.col("root_b")) & possible(percent))
+    def pairs_of(x: DataFrame, y: DataFrame, own: Column | None = None) -> DataFrame:
+        """Pairs of a key in different classes that may be similar; with sketches, only what these leave open."""
+        other = y.select("key", *(F.col(c).alias(f"{c}_b") for c in ("sig", "size", "pos", "root", "sketch") if c in y.columns))
+        may = (F.col("root") != F.col("root_b")) & possible(percent)
+        if "sketch" in y.columns:
+            may &= close(percent)
+        return x.join(other, "key").where(may if own is None else own & may).select(F.least("sig", "sig_b").alias("a"), F.greatest("sig", "sig_b").alias("b"))
 
     roots = confirmed(proposed(nodes), None)
     until = float("inf")  # open pairs up to which pivots are worth another round
     for k in range(ROUNDS + 1):
         named = members.join(roots, members["sig"] == roots["node"], "left").select("key", "sig", "size", "pos", F.coalesce("root", "sig").alias("root"))
-        counts = named.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("within"))
+        counts = named.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("within"), F.max(F.struct("count", "root"))["root"].alias("top"))
         # keys whose members are all in one class by now are never looked at again
         open_ = F.col("n") * F.col("n") - F.col("within")
-        counts = written(counts.select("key", "n", open_.alias("open")).where("open > 0"))
+        counts = written(counts.select("key", "n", open_.alias("open"), "top").where("open > 0"))
         many = F.col("open") > FEW * F.col("n")
         left = counts.agg(F.sum(F.when(many, F.col("open")))).first()[0] or 0
         last = not left or k == ROUNDS or left > until
         until = left / 2
-        named = written(named.join(counts.select("key", many.alias("many")), "key"))
+        named = written(named.join(counts.select("key", "top", many.alias("many")), "key"))
         discard(members, counts)
-        few = named if last else named.where("not many")
-        pairs = pairs_of(few, few).where("sig < sig_b").select("sig", "sig_b")
-        if not last:
-            # members of a key are compared with the same one of them; large groups of near copies come together so
-            several = named.where("many")
-            pivot = several.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", F.lit(k)).alias("h"), "sig", "size", "pos", "root")).alias("p")).select("key", "p.sig", "p.size", "p.pos", "p.root")
-            pairs = pairs.unionByName(pairs_of(several, pivot).select(F.least("sig", "sig_b").alias("sig"), F.greatest("sig", "sig_b").alias("sig_b")))
-        roots = confirmed(pairs.select(F.col("sig").alias("a"), F.col("sig_b").alias("b")).distinct(), roots)
+        few = named.where("not many")
+        pairs = pairs_of(few, few, F.col("sig") < F.col("sig_b"))
+        if left:
+            # sketches go with the members of large groups, so that a pair that they rule out is never a row
+            several = written(named.where("many").join(nodes.select("sig", sketch(F.col("parity")).alias("sketch")), "sig"))
+            if last:
+                # those of a key's largest class needn't be compared with each other
+                found = pairs_of(several.where("root != top"), several, (F.col("root_b") == F.col("top")) | (F.col("sig") < F.col("sig_b")))
+            else:
+                # members of a key are compared with the same one of them; large groups of near copies come together so.
+                # Few rare shingles before a common one are a sign of a text from which the others were made
+                order = F.struct(F.pmod(F.xxhash64("sig", F.lit(k)), F.lit(CENTRAL)).alias("h"), F.col("pos").alias("p"), "sig", "size", "pos", "root", "sketch")
+                found = pairs_of(several, several.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.sig", "p.size", "p.pos", "p.root", "p.sketch"))
+            pairs = pairs.unionByName(found)
+        roots = confirmed(pairs.distinct(), roots)
         if last:
-            discard(named)
+            discard(named, *([several] if left else []))
             break
         members = written(several.select("key", "sig", "size", "pos"))
-        discard(named)
+        discard(named, several)
     rooted = written(nodes.join(roots, nodes["sig"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("root")))
     discard(nodes)
     ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "root", "component_id")
