@@ -32,11 +32,11 @@ def render_messages(visible: DataFrame) -> DataFrame:
     return b.select("conv_id", F.when(C.blank(F.col("body")), F.lit("")).otherwise(T.safe_lines(F.col("body"))).alias("fragment"))
 
 
-def transcripts(conversations: DataFrame, visible: DataFrame) -> DataFrame:
-    """conv_id and transcript of every conversation given."""
+def transcripts(conversations: DataFrame, visible: DataFrame, empty: bool = True) -> DataFrame:
+    """conv_id and transcript of every conversation given, or without ``empty`` of those with shown messages."""
     head = F.concat(
         F.lit("# "), T.collapse_whitespace(C.display_title(F.col("title"))), F.lit("\n\nConversation ID: "), C.display_id(F.col("conv_id")),
         F.lit("\nCreated: "), T.format_time(F.col("create_time")), F.lit("\nUpdated: "), T.format_time(F.col("update_time")), F.lit("\n\n---\n\n"),
     )
-    out = conversations.join(bodies(visible), "conv_id", "left")
+    out = conversations.join(bodies(visible), "conv_id", "left" if empty else "inner")
     return out.select("conv_id", T.safe_lines(F.concat(head, F.coalesce("body", F.lit(X.EMPTY_BRANCH)))).alias("transcript"))
