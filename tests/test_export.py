@@ -1,11 +1,14 @@
+import io
 import json
+import tracemalloc
 
 import pytest
+from pyspark.sql import functions as F
 
 from exports import archive, text, thread
 from threadloom import errors as E
 from threadloom.sources import parse
-from threadloom.sources.export import raw_conversation, read_export
+from threadloom.sources.export import PIECE, pieces, raw_conversation, read_export, scan
 from threadloom.streaming.landing import stream_exports
 
 
@@ -104,6 +107,47 @@ def test_archives(spark, tmp_path):
     assert read_export(spark, [path, write(tmp_path / "bad.json", b"{")], on_error="keep").conversations.count() == 2
 
 
+def whole(body):
+    """A document's conversations as json reads them at once, or the error."""
+    try:
+        v = json.loads(body.removeprefix(b"\xef\xbb\xbf").decode(), parse_constant=parse.refuse)
+        json.dumps(v, ensure_ascii=False).encode()
+    except (ValueError, RecursionError):
+        return E.InvalidJson
+    v = v.get("conversations") if isinstance(v, dict) else v
+    return v if isinstance(v, list) else E.UnexpectedShape
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 1 << 18])
+def test_windows_give_what_the_whole_document_gives(monkeypatch, window):
+    monkeypatch.setattr(parse, "WINDOW", window)
+    bodies = ['[]', '', ' ', '5', '{}', '[1.5e+30]', '[123.25, -1e5, 12]', '["\\ud83d\\ude00é😀", {"k": [true, null]}]', '["\\ud83d"]', '[NaN]', '[-Infinity]', '[1,]', '[1 2]', '[1]x', '[1] \n', '{"a": 1,}', '{"a" 1}', '["\x01"]', '[12', '["a', '[1}']
+    bodies += ['{"conversations": [1, "x"], "a": [2]}', '{"a": {"b": 1}, "conversations": []}', '{"conversations": [1], "conversations": 5}', '{"conversations": 5, "conversations": [2]}', '{"conversations": [1], "conversations": [2, 3]}', '{"conversations": [1], "\\ud800": 1}', '{"conversations": null}']
+    for body in [*(b.encode() for b in bodies), b"\xef\xbb\xbf[1]", b"\xef\xbb\xbf" * 2 + b"[1]", b"[\xff]", b"\xef"]:
+        try:
+            n = parse.checked(io.BytesIO(body), "x")
+            got = [v for what, k, v in parse.values(io.BytesIO(body)) if (what, k) == ("element", n)]
+        except E.ExportError as e:
+            got = type(e)
+        assert got == whole(body), body
+
+
+def test_large_files_are_not_held(spark):
+    """30 MB in 3,000 elements: about one window and one element at a time, and pieces between the JVM and Python."""
+    body = json.dumps([thread(f"c{i}", text("user", "x" * 10_000)) for i in range(3000)]).encode()
+    tracemalloc.start()
+    assert sum(r["idx"] >= 0 for r in parse.file_rows("x.json", io.BytesIO(body), 1 << 30)) == 3000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    files = spark.createDataFrame([("a", body), ("b", b""), ("c", b"[]")], "path string, content binary").coalesce(1)
+    cut = pieces(files)
+    assert cut.agg(F.max(F.octet_length("piece"))).first()[0] <= PIECE
+    assert {r.path: r.n for r in cut.groupBy("path").agg(F.count("*").alias("n")).collect()} == {"a": -(-len(body) // PIECE), "b": 1, "c": 1}
+    got = {(r.path, r.error.code if r.error else None): r.n for r in scan(files).groupBy("path", "error").agg(F.count_if(F.col("idx") >= 0).alias("n")).collect()}
+    assert got == {("a", None): 3000, ("b", "InvalidJson"): 0, ("c", None): 0}
+
+
 def test_entry_names():
     assert all(map(parse.conversations_entry, ("conversations.json", "a/b/CONVERSATIONS-001.json", "my-conversations.json", "a\\conversations.json")))
     assert not any(map(parse.conversations_entry, ("conversations.txt", "__macosx/conversations.json", "a/.conversations.json", "conversation.json", "conversations.json/x", "")))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import Protocol
+from typing import BinaryIO, Protocol
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -21,6 +22,7 @@ from threadloom.session import checkpointed
 from threadloom.sources.parse import file_rows, is_zip
 
 MAX_UNPACKED = 512 << 20
+PIECE = 1 << 20
 PART = "struct<kind: string, text: string, name: string>"
 MESSAGE = f"struct<id: string, role: string, author_name: string, create_time: double, recipient: string, hidden: boolean, model_slug: string, content: struct<kind: string, content_type: string, language: string, text: string, parts: array<{PART}>>>"
 NODE = f"struct<node_id: string, parent: string, children: array<string>, message: {MESSAGE}>"
@@ -81,27 +83,46 @@ def too_large(files: DataFrame, limit: int) -> list[str]:
     return out
 
 
+def pieces(files: DataFrame) -> DataFrame:
+    """Contents cut to pieces, those of a file one after the other (path, piece, last), so that no task holds a file in
+    Python."""
+    local = F.regexp_replace("path", "^file:/+", "/")  # as local_path
+    most = F.greatest(F.lit(0), F.floor((F.octet_length("content") - 1) / PIECE).cast("int"))
+    cut = files.select(local.alias("path"), "content", most.alias("most")).select("*", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("k"))
+    return cut.select("path", F.substring("content", F.col("k") * PIECE + 1, F.lit(PIECE)).alias("piece"), (F.col("k") == F.col("most")).alias("last"))
+
+
 def scan(files: DataFrame, max_unpacked_bytes: int = MAX_UNPACKED) -> DataFrame:
-    """Rows of files (path, content), one element each; a file that can't be read gives one row with its error."""
+    """Rows of files (path, content), one element each; a file that can't be read gives one row with its error.  A task
+    keeps the file it is at on its disk, and parses it from there."""
     schema = to_arrow_schema(S.StructType.fromDDL(SCANNED))
 
+    def rows(path: str, f: BinaryIO) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
+        try:
+            for row in file_rows(path, f, max_unpacked_bytes):
+                some.append(row)
+                size += len(row.get("raw") or "")
+                if size > PIECE:
+                    yield pa.RecordBatch.from_pylist(some, schema=schema)
+                    some, size = [], 0
+        except ExportError as e:
+            some = [{"path": path, "entry_no": 0, "idx": -1, "origin": path, "error": {"code": type(e).__name__, "message": str(e)}}]
+        yield pa.RecordBatch.from_pylist(some, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = None
         for batch in batches:
-            for path, body in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                some, size = [], 0
-                try:
-                    for row in file_rows(path, body.as_py(), max_unpacked_bytes):
-                        some.append(row)
-                        size += len(row.get("raw") or "")
-                        if size > 16 << 20:
-                            yield pa.RecordBatch.from_pylist(some, schema=schema)
-                            some, size = [], 0
-                except ExportError as e:
-                    some = [{"path": path, "entry_no": 0, "idx": -1, "origin": path, "error": {"code": type(e).__name__, "message": str(e)}}]
-                yield pa.RecordBatch.from_pylist(some, schema=schema)
-
-    local = F.regexp_replace("path", "^file:/+", "/")  # as local_path
-    return files.select(local.alias("path"), "content").mapInArrow(run, SCANNED)
+            for path, piece, last in zip(batch.column("path"), batch.column("piece"), batch.column("last"), strict=True):
+                f = f or tempfile.TemporaryFile()
+                f.write(piece.as_buffer())
+                if last.as_py():
+                    with f:
+                        f.seek(0)
+                        yield from rows(path.as_py(), f)
+                    f = None
+
+    return pieces(files).mapInArrow(run, SCANNED)
 
 
 def local_path(path: str) -> str:
