@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from exports import expected_branch, walk
+from threadloom.operators import contraction
 from threadloom.operators import graph as G
 from threadloom.operators.ordered import numbered
 from threadloom.operators.stats import graph_stats
@@ -58,6 +59,41 @@ def test_chains(many):
     assert len(got) == sum(len(g[0]) for g in graphs.values())
 
 
+@pytest.mark.parametrize("few", [0, 3, 200])
+def test_chains_by_contraction(spark, many, few):
+    """Trees, cycles, what hangs on them, nodes that point at themselves or at nothing."""
+    graphs, nodes, _ = many
+    got = [((r.conv_id, r.node_id), (r.parent, r.length, r.messages, r.grounded)) for r in contraction.chains(nodes, few).collect()]
+    want = []
+    for k, (g, has, _) in graphs.items():
+        for n, parent in g.items():
+            path, why = walk(g, n)
+            want.append(((k, n), (parent, len(path), sum(has[m] for m in path), why == "root")))
+    assert sorted(got, key=lambda x: x[0]) == sorted(want, key=lambda x: x[0])
+
+
+def test_large_cycle_by_contraction(spark):
+    """A cycle of 300 with tails of 40 and 7, one of which ends in a fork."""
+    g = {f"c{i}": f"c{(i + 1) % 300}" for i in range(300)} | {f"t{i}": f"t{i - 1}" if i else "c5" for i in range(40)} | {f"u{i}": f"u{i - 1}" if i else "t20" for i in range(7)} | {"me": "me", "on": "me"}
+    has = {n: len(n) % 2 == 0 for n in g}
+    _, nodes = tables(spark, {"c": (g, has, None)})
+    got = {r.node_id: (r.length, r.messages, r.grounded) for r in contraction.chains(nodes, 5).collect()}
+    assert got == {n: (len(p), sum(has[m] for m in p), False) for n in g for p in [walk(g, n)[0]]}
+
+
+def test_rows_written_for_deep_graphs_grow_with_nodes(spark, monkeypatch):
+    """Rounds that write all nodes would write 17 times a chain of 50,000, and once more each time it doubles."""
+    rows = []
+    for module in (G, contraction):
+        plain = module.written
+        monkeypatch.setattr(module, "written", lambda df, plain=plain: (out := plain(df), rows.append(out.count()))[0])
+    n = 50_000
+    at = F.col("id")
+    chain = spark.range(n).select(F.lit("c").alias("conv_id"), at.cast("string").alias("node_id"), F.when(at > 0, at - 1).cast("string").alias("parent"), F.lit(True).alias("has_message"))
+    assert G.Chains(chain).nodes().agg(F.max("length")).first()[0] == n
+    assert sum(rows) < 9 * n
+
+
 def test_stats_recomputed(many):
     graphs, nodes, branches = many
     got = {r.conv_id: r for r in graph_stats(nodes, branches).collect()}

@@ -10,15 +10,18 @@ doesn't exist, or where it would meet a node twice.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators import contraction
 from threadloom.operators.ordered import numbered
 from threadloom.session import written
 
 KEY = ["conv_id", "node_id"]
+DEEP = 4096  # nodes of a graph beyond which chains are found by contraction
 
 
 def linked(nodes: DataFrame) -> DataFrame:
@@ -45,11 +48,15 @@ def doubled(one: DataFrame, largest: int) -> list[DataFrame]:
 class Chains:
     """Jump tables of a set of graphs, and what they say about every node."""
 
-    def __init__(self, nodes: DataFrame):
-        base = linked(nodes.select("conv_id", "node_id", "parent", F.coalesce("has_message", F.lit(False)).alias("has_message")))
-        one = base.select(*KEY, "parent", F.col("up").alias("jump"), F.lit(1).cast("bigint").alias("length"), F.col("has_message").cast("bigint").alias("messages"), F.col("node_id").alias("top"), F.col("node_id").alias("low"))
+    def __init__(self, nodes: DataFrame, deep: int = DEEP):
+        self.given, self.deep = nodes, deep
         self.largest = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-        self.tables = doubled(one, self.largest)
+
+    @cached_property
+    def tables(self) -> list[DataFrame]:
+        base = linked(self.given.select("conv_id", "node_id", "parent", F.coalesce("has_message", F.lit(False)).alias("has_message")))
+        one = base.select(*KEY, "parent", F.col("up").alias("jump"), F.lit(1).cast("bigint").alias("length"), F.col("has_message").cast("bigint").alias("messages"), F.col("node_id").alias("top"), F.col("node_id").alias("low"))
+        return doubled(one, self.largest)
 
     def steps(self, starts: DataFrame, extra: list[str]) -> DataFrame:
         """Every node on the walks from ``starts`` (conv_id, node_id, length and ``extra``), with distance d."""
@@ -66,7 +73,9 @@ class Chains:
 
     def nodes(self) -> DataFrame:
         """conv_id, node_id, parent, length and messages of the chain to the root, grounded (it ends at a node
-        without parent)."""
+        without parent).  Where a graph has more than ``deep`` nodes, rounds of all nodes would be many."""
+        if self.largest > self.deep:
+            return contraction.chains(self.given)
         last = self.tables[-1]
         parents = self.tables[0].select("conv_id", F.col("node_id").alias("top"), F.col("parent").alias("top_parent"))
         plain = last.where("jump is null").join(parents, ["conv_id", "top"]).select(*KEY, "parent", "length", "messages", F.col("top_parent").isNull().alias("grounded"))
